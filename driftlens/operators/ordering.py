@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftlens.session import cut_lineage
@@ -41,15 +39,19 @@ def with_ordinal(df: DataFrame, keys: list[str], order: list[Column], name: str
     )
 
 
-def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+def split_hot(
+    df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, probe: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """Split rows into (rows of ordinary groups, rows of hot groups or None).
 
-    Hot groups are found with one map-side combined count; there can be at most
-    rows / ``hot_rows`` of them, which bounds the broadcast.
+    Hot groups are found with one map-side combined count, over ``probe`` where a cheaper table with at
+    least the same rows exists. There can be at most rows / ``hot_rows`` of them, which bounds the broadcast.
     """
-    hot = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys))
+    counts = (df if probe is None else probe).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
     if hot.isEmpty():
         return df, None
+    hot = cut_lineage(hot)
     return df.join(F.broadcast(hot), keys, "left_anti"), df.join(F.broadcast(hot), keys, "left_semi")
 
 
@@ -66,7 +68,13 @@ def group_row_number(
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], order: list[str], columns: list[str], unique: list[str], hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    columns: list[str],
+    unique: list[str],
+    hot_rows: int = HOT_ROWS,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``prev_<column>`` from the row before within ``keys``; null on the first row.
 
@@ -74,7 +82,7 @@ def previous_row(
     row of each slice is handed on to the next slice, so that no task sees the whole group.
     ``unique`` names the columns that identify a row.
     """
-    calm, hot = split_hot(df, keys, hot_rows)
+    calm, hot = split_hot(df, keys, hot_rows, probe)
     lagged = _lag(calm, Window.partitionBy(*keys).orderBy(*order), columns)
     if hot is None:
         return lagged
@@ -107,6 +115,3 @@ def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
         return df.orderBy(*order).limit(n)
     return with_ordinal(df, [], order, "_ord").where(F.col("_ord") < n).drop("_ord")
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
