@@ -97,7 +97,9 @@ def select_spaced(df: DataFrame, keys: list[str], pos: str, gap: Column, min_chu
     ])
     tables = unsettled.mapInPandas(_exit_tables(group, pos), table_schema)
     entries = chain_entries(tables, keys, FREE)
-    replay = unsettled.join(entries, group).sortWithinPartitions(*group, pos)
+    # Every chunk has its entry. A left join, because an inner one would filter this side for nulls and so
+    # keep it from sharing the shuffle with the two uses above.
+    replay = unsettled.join(entries, group, "left").sortWithinPartitions(*group, pos)
     taken = replay.mapInPandas(_replay(group, pos, df.columns), df.schema)
     return sure.unionByName(taken)
 

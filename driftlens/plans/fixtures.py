@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftlens.schema import RULE_SCHEMA
 
@@ -28,39 +28,27 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+# Fixed mapping of the ``events`` table to log rows; times are stored at millisecond resolution.
+LOG_COLUMNS = [
+    "event_id AS id",
+    "date_trunc('MILLISECOND', CAST(ts AS TIMESTAMP)) AS ts",
+    """CASE event_type WHEN 'click' THEN 'fswatch' WHEN 'view' THEN 'watchman' WHEN 'purchase' THEN 'entr'
+       WHEN 'signup' THEN 'logstream' ELSE 'plugin:sample' END AS source""",
+    "CASE WHEN event_id % 50 = 0 THEN 'info' WHEN event_type = 'error' THEN 'stderr' ELSE 'stdout' END AS level",
+    r"""CASE WHEN event_id % 50 = 0 THEN concat('started (pid ', event_id, ')')
+       WHEN event_id % 41 = 0 THEN 'heartbeat'
+       WHEN event_id % 37 = 0 THEN ' changed'
+       WHEN event_id % 31 = 0 THEN concat('log stream Output: /var/log//svc/../u', user_id % 7, '/')
+       ELSE concat('/var/', CASE user_id % 4 WHEN 0 THEN 'log' WHEN 1 THEN 'tmp' WHEN 2 THEN 'cache' ELSE 'folders' END,
+         '/u', user_id % 10, '/k', CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 5, ' ',
+         CASE event_id % 4 WHEN 0 THEN 'Created' WHEN 1 THEN 'Updated' WHEN 2 THEN 'Removed' ELSE 'Renamed' END, ' IsFile')
+       END AS message""",
+]
+
+
 def as_log(raw: DataFrame) -> DataFrame:
     """The raw ``events`` rows (batch or stream) with the log schema."""
-    event, user = F.col("event_id"), F.col("user_id")
-    kind = F.col("event_type")
-
-    def pick(value: Column, *names: str) -> Column:
-        chosen = F.when(value == 0, names[0])
-        for number, name in enumerate(names[1:-1], 1):
-            chosen = chosen.when(value == number, name)
-        return chosen.otherwise(names[-1])
-
-    source = (
-        F.when(kind == "click", "fswatch").when(kind == "view", "watchman").when(kind == "purchase", "entr")
-        .when(kind == "signup", "logstream").otherwise("plugin:sample")
-    )
-    level = F.when(event % 50 == 0, "info").when(kind == "error", "stderr").otherwise("stdout")
-    number = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    message = (
-        F.when(event % 50 == 0, F.concat(F.lit("started (pid "), event.cast("string"), F.lit(")")))
-        .when(event % 41 == 0, "heartbeat")
-        .when(event % 37 == 0, " changed")
-        .when(event % 31 == 0, F.concat(F.lit("log stream Output: /var/log//svc/../u"), (user % 7).cast("string"), F.lit("/")))
-        .otherwise(F.concat(
-            F.lit("/var/"), pick(user % 4, "log", "tmp", "cache", "folders"),
-            F.lit("/u"), (user % 10).cast("string"), F.lit("/k"), (number % 5).cast("string"), F.lit(" "),
-            pick(event % 4, "Created", "Updated", "Removed", "Renamed"), F.lit(" IsFile"),
-        ))
-    )
-    # Stored at millisecond resolution.
-    stamp = F.date_trunc("MILLISECOND", F.col("ts").cast("timestamp"))
-    return raw.select(
-        event.alias("id"), stamp.alias("ts"), source.alias("source"), level.alias("level"), message.alias("message")
-    )
+    return raw.selectExpr(*LOG_COLUMNS)
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
