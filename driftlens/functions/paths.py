@@ -6,7 +6,6 @@ from pyspark.sql import Column, functions as F
 
 # First token that starts with a slash; Unicode white space separates tokens.
 FIRST_PATH = r"(?U)(?:^|\s)(/\S*)"
-UNCLEAN = r"//|/\.{1,2}(?:/|$)|.+/$"
 
 
 def clean_path(path: Column) -> Column:
@@ -20,7 +19,8 @@ def clean_path(path: Column) -> Column:
         .otherwise(F.array().cast("array<string>")),
     )
     # Nearly all paths are clean already and skip the array work.
-    return F.when(path.rlike(UNCLEAN), F.concat(F.lit("/"), F.array_join(resolved, "/"))).otherwise(path)
+    suspect = path.contains("//") | path.contains("/.") | path.endswith("/")
+    return F.when(suspect, F.concat(F.lit("/"), F.array_join(resolved, "/"))).otherwise(path)
 
 
 def extract_path(message: Column) -> Column:
@@ -28,26 +28,25 @@ def extract_path(message: Column) -> Column:
     return clean_path(F.regexp_extract(message, FIRST_PATH, 1))
 
 
-def path_parts(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda part: part != "")
+def path_depth(path: Column) -> Column:
+    """Number of steps below the root, of a clean path."""
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    return F.when(path == "/", F.lit(0)).otherwise(slashes)
+
+
+def path_prefix(path: Column, depth: Column) -> Column:
+    """The ancestor of a clean path at a depth of 0 (the root) to its own."""
+    return F.when(depth == 0, F.lit("/")).otherwise(F.call_function("substring_index", path, F.lit("/"), depth + 1))
 
 
 def path_prefixes(path: Column) -> Column:
-    """``/a``, ``/a/b``, ... up to the path itself; empty for the root."""
-    parts = path_parts(path)
+    """``/a``, ``/a/b``, ... up to the clean path itself; empty for the root and for no path."""
+    depth = path_depth(path)
     return F.when(
-        F.size(parts) > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts)),
-            lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")),
-        ),
+        depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda n: path_prefix(path, n))
     ).otherwise(F.array().cast("array<string>"))
 
 
-def path_depth(path: Column) -> Column:
-    return F.when(path == "/", F.lit(0)).otherwise(F.size(F.split(path, "/")) - 1)
-
-
 def path_name(path: Column) -> Column:
     return F.when(path == "/", path).otherwise(F.substring_index(path, "/", -1))
 

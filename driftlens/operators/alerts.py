@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from driftlens.functions.text import alert_message
 from driftlens.operators.ordering import with_ordinal
 from driftlens.operators.predicates import not_alert_source
-from driftlens.operators.runs import MIN_CHUNK, chain_entries, place_in_chunks, select_spaced, whole_groups
+from driftlens.operators.runs import MIN_CHUNK, TABLE_TYPE, chain_entries, place_in_chunks, select_spaced, whole_groups
 from driftlens.schema import ALERT_HISTORY, ALERT_SOURCE
 
 # Rules beyond this number are joined in several rounds, each with a broadcast of at most this size.
@@ -122,11 +122,18 @@ def _count_same(numbered: DataFrame, min_chunk: int) -> DataFrame:
     A match can complete an alert when the match ``min_events - 1`` before it is still in the window.
     Of those, alerts fire greedily at least ``min_events`` matches apart.
     """
-    earlier = numbered.select(
+    # Only numbers take part in this; the alerts' other columns are joined on at the end.
+    narrow = numbered.select("rule_id", "_nth", "_ms", "_span", F.col("min_events").cast("bigint").alias("min_events"))
+    earlier = narrow.select(
         "rule_id", (F.col("_nth") + F.col("min_events") - 1).alias("_nth"), F.col("_ms").alias("_first_ms")
     )
-    complete = numbered.join(earlier, ["rule_id", "_nth"]).where(F.col("_ms") - F.col("_first_ms") <= F.col("_span"))
-    return select_spaced(complete.drop("_first_ms"), ["rule_id"], "_nth", F.col("min_events"), min_chunk)
+    complete = (
+        narrow.join(earlier, ["rule_id", "_nth"])
+        .where(F.col("_ms") - F.col("_first_ms") <= F.col("_span"))
+        .select("rule_id", "_nth", "min_events")
+    )
+    fired = select_spaced(complete, ["rule_id"], "_nth", F.col("min_events"), min_chunk)
+    return numbered.join(fired.select("rule_id", "_nth"), ["rule_id", "_nth"])
 
 
 def _count_mixed(numbered: DataFrame, min_chunk: int) -> DataFrame:
@@ -141,18 +148,14 @@ def _count_mixed(numbered: DataFrame, min_chunk: int) -> DataFrame:
     placed = place_in_chunks(numbered.join(F.broadcast(most), "rule_id"), "_nth", F.col("_most"), min_chunk)
     group = ["rule_id", "_chunk"]
     placed = placed.repartition(*group).sortWithinPartitions(*group, "_nth")
-    schema = T.StructType([
-        *[placed.schema[k] for k in group],
-        T.StructField("_upper", T.ArrayType(T.LongType())),
-        T.StructField("_exit", T.ArrayType(T.LongType())),
-    ])
+    schema = T.StructType([*[placed.schema[k] for k in group], T.StructField("_table", TABLE_TYPE)])
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, numbers in whole_groups(batches, group):
             for _, part in rows.groupby(numbers, sort=False):
                 states = np.arange(int(part["_most"].iloc[0]))
                 leaves = np.array([_count_chunk(part, int(s))[1] for s in states])
-                yield part[group].head(1).assign(_upper=[states], _exit=[leaves])
+                yield part[group].head(1).assign(_table=[{"upper": states, "exit": leaves}])
 
     entries = chain_entries(placed.mapInPandas(tables, schema), ["rule_id"], 0)
     columns = numbered.columns

@@ -48,10 +48,9 @@ def split_hot(
     least the same rows exists. There can be at most rows / ``hot_rows`` of them, which bounds the broadcast.
     """
     counts = (df if probe is None else probe).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
+    hot = cut_lineage(counts.where(F.col("_n") > hot_rows).select(*keys))
     if hot.isEmpty():
         return df, None
-    hot = cut_lineage(hot)
     return df.join(F.broadcast(hot), keys, "left_anti"), df.join(F.broadcast(hot), keys, "left_semi")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftlens.functions import paths
 from driftlens.functions.text import heat
 from driftlens.operators.ordering import HOT_ROWS, group_row_number
-from driftlens.operators.predicates import has_message, has_path
+from driftlens.operators.predicates import has_message
 from driftlens.operators.search import oldest_n
 from driftlens.operators.stats import recent
 from driftlens.schema import STATS_HOURS, TREE_LIMIT
@@ -28,13 +28,15 @@ def path_rollup(
     rows = recent(df, as_of, hours).where(has_message())
     if limit is not None:
         rows = oldest_n(rows, limit)
-    rows = rows.where(has_path())
-    counts = rows.groupBy(paths.extract_path(F.col("message")).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
+    # Where there is no path there is no slash either, in nearly all messages.
+    rows = rows.where(F.col("message").contains("/"))
+    counts = rows.groupBy(paths.extract_path(F.col("message")).alias("leaf")).agg(F.count(F.lit(1)).alias("n")).where(F.col("leaf") != "")
     # The root exists even without events.
     counts = counts.unionByName(df.sparkSession.range(0, 1, 1, 1).select(F.lit("/").alias("leaf"), F.lit(0).cast("bigint").alias("n")))
-    ancestors = F.concat(F.array(F.lit("/")), paths.path_prefixes(F.col("leaf")))
+    levels = counts.select("n", "leaf", F.explode(F.sequence(F.lit(0), paths.path_depth(F.col("leaf")))).alias("level"))
     nodes = (
-        counts.select("n", F.explode(ancestors).alias("path")).groupBy("path").agg(F.sum("n").alias("count"))
+        levels.select("n", paths.path_prefix(F.col("leaf"), F.col("level")).alias("path"))
+        .groupBy("path").agg(F.sum("n").alias("count"))
     )
     path = F.col("path")
     return nodes.select(

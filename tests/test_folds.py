@@ -56,6 +56,27 @@ def test_dedup_equals_the_fold(log_of, seed, window, span, min_chunk):
     assert kept == fold_dedup(rows, window)
 
 
+def test_hot_groups_and_small_batches(spark, log_of):
+    rng = random.Random(21)
+    rows = random_rows(rng, 3000, 4000, 0.9) + [(10_000 + n, 777, "a", "x", "hot event") for n in range(500)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for window in (3, 60, 900):
+            kept = sorted(r.id for r in dedup_window(log_of(rows), window, 1, hot_rows=20).collect())
+            assert kept == fold_dedup(rows, window)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_dedup_shares_its_shuffle(spark, log_of, tmp_path):
+    log_of([(n, n * 7, "a", "x", f"m{n % 3}") for n in range(200)]).write.parquet(str(tmp_path / "t"))
+    from driftlens.schema import LOG_SCHEMA
+
+    df = dedup_window(spark.read.schema(LOG_SCHEMA).parquet(str(tmp_path / "t")), 100)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dedup_rules(log_of):
     rows = [(1, 0, "a", "l", "m"), (2, 300, "b", "l", "m"), (3, 600, "a", "l", "m"), (4, 900, "a", "l", "m"),
             (5, 1300, "a", "l", "m"), (6, 5000, "a", "l", "m"), (7, 5100, "a", "l", "m"), (8, 5500, "a", "l", "m"),
