@@ -20,10 +20,11 @@ MAX_BROADCAST_RULES = 10_000
 FIRED_COLUMNS = ["id", "name", "count", "fired_at", "last", "sound", "event_id", "rule_no"]
 
 
-def match_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(df: DataFrame, rules: DataFrame, total: int | None = None) -> DataFrame:
     """One row per event and rule it matches; empty rule parts match anything.
 
-    The rules carry their columns over with the prefix ``rule_``. Alert events never match.
+    The rules carry their columns over with the prefix ``rule_``. Alert events never match. ``total`` is the
+    number of rules at most, where the caller has counted them.
     """
     named = rules.select(
         "rule_no",
@@ -42,7 +43,8 @@ def match_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
         & ((F.col("_source") == "") | (F.col("source") == F.col("_source")))
         & ((F.col("_level") == "") | (F.col("level") == F.col("_level")))
     )
-    total = named.count()
+    if total is None:
+        total = (named.agg(F.max("rule_no").alias("last")).first().last or 0) + 1
     if total <= MAX_BROADCAST_RULES:
         rounds = [named]
     else:
@@ -67,6 +69,8 @@ def fire_alerts(df: DataFrame, rules: DataFrame, min_chunk: int = MIN_CHUNK) ->
     variants = F.size(F.collect_set(F.struct("min_events", "window_sec")).over(kind))
     rules = rules.withColumn("_mixed", variants > 1)
     shapes = rules.agg(
+        # Rule numbers run from 0 over the whole list.
+        (F.coalesce(F.max("rule_no"), F.lit(-1)) + 1).alias("total"),
         F.bool_or(F.col("_mixed")).alias("mixed"),
         F.bool_or(~F.col("_mixed") & (F.col("min_events") > 1)).alias("counting"),
         F.bool_or(~F.col("_mixed") & (F.col("min_events") == 1)).alias("single"),
@@ -75,13 +79,13 @@ def fire_alerts(df: DataFrame, rules: DataFrame, min_chunk: int = MIN_CHUNK) ->
     parts = []
     if shapes.single:
         # Every match fires: a projection, with nothing to count.
-        ones = match_rules(df, rules.where(~F.col("_mixed") & (F.col("min_events") == 1)))
+        ones = match_rules(df, rules.where(~F.col("_mixed") & (F.col("min_events") == 1)), shapes.total)
         parts.append(_fired(_matched(ones), F.lit(1)))
     if shapes.counting:
-        many = match_rules(df, rules.where(~F.col("_mixed") & (F.col("min_events") > 1)))
+        many = match_rules(df, rules.where(~F.col("_mixed") & (F.col("min_events") > 1)), shapes.total)
         parts.append(_fired(_count_same(_numbered(many), min_chunk), F.col("min_events")))
     if shapes.mixed:
-        odd = match_rules(df, rules.where("_mixed"))
+        odd = match_rules(df, rules.where("_mixed"), shapes.total)
         parts.append(_fired(_count_mixed(_numbered(odd), min_chunk), F.col("_count")))
     if not parts:
         parts.append(_fired(_matched(match_rules(df, rules)), F.lit(1)))
