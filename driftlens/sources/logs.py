@@ -134,8 +134,8 @@ def prune(df: DataFrame, as_of: datetime, retention_days: int = RETENTION_DAYS)
 def prune_table(spark: SparkSession, path: str, as_of: datetime, retention_days: int = RETENTION_DAYS) -> int:
     """Apply retention to a stored table; returns the number of rows deleted.
 
-    Whole days before the cutoff are removed as folders. Only the day of the cutoff is rewritten, next
-    to the table first and swapped in afterwards.
+    Whole days before the cutoff are removed as folders. Only the day of the cutoff is rewritten: into the
+    shared folder first and from there over its partitions.
     """
     moment = times.to_ms(cutoff(as_of, retention_days))
     day = _day(moment)
@@ -146,25 +146,21 @@ def prune_table(spark: SparkSession, path: str, as_of: datetime, retention_days:
     reader = spark.read.schema(TABLE_SCHEMA).option("basePath", path)
     # Row counts of whole files come from their footers.
     deleted = reader.parquet(*gone).count() if gone else 0
-    swap = []
     if edge:
-        rows = reader.parquet(*edge)
-        kept, count = prune(rows, as_of, retention_days)
+        kept, count = prune(reader.parquet(*edge), as_of, retention_days)
         dropped = count.first().deleted
         if dropped:
             deleted += dropped
             staged = scratch_path(spark, "prune")
             kept.write.partitionBy("batch", "dt").parquet(staged)
-            fresh = {f"{_value(f, 'batch')}/{day}": f for f in _partitions(spark, f"{staged}/batch=*/dt=*")}
-            swap = [(f, fresh.get(f"{_value(f, 'batch')}/{day}")) for f in edge]
+            left = {_value(folder, "batch") for folder in _partitions(spark, f"{staged}/batch=*")}
+            if left:
+                # Replaces exactly the partitions it writes.
+                rewritten = spark.read.schema(TABLE_SCHEMA).parquet(staged).write.mode("overwrite")
+                rewritten.option("partitionOverwriteMode", "dynamic").partitionBy("batch", "dt").parquet(path)
+            gone += [folder for folder in edge if _value(folder, "batch") not in left]
     for folder in gone:
         fs(folder).delete(path_of(folder), True)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    file_util = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
-    for folder, replacement in swap:
-        fs(folder).delete(path_of(folder), True)
-        if replacement:
-            file_util.copy(fs(replacement), path_of(replacement), fs(folder), path_of(folder), True, conf)
     return deleted
 
 

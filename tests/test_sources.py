@@ -62,6 +62,14 @@ def test_prune_table_drops_days_and_rewrites_the_edge(spark, log_of, at, tmp_pat
     assert logs.prune_table(spark, table, at(8 * DAY + 5), 3) == 0
 
 
+def test_prune_table_may_empty_the_edge_of_a_batch(spark, log_of, at, tmp_path):
+    table = str(tmp_path / "t")
+    logs.append_logs(log_of([(1, 5 * DAY, "s", "l", "old"), (2, 9 * DAY, "s", "l", "new")]), table)
+    logs.append_logs(log_of([(1, 5 * DAY, "s", "l", "old"), (2, 5 * DAY + 9, "s", "l", "kept")]), table)
+    assert logs.prune_table(spark, table, at(8 * DAY + 5), 3) == 2
+    assert sorted((r.id, r.message) for r in logs.read_log_table(spark, table).collect()) == [(2, "new"), (4, "kept")]
+
+
 def test_read_log_lines(spark, tmp_path):
     (tmp_path / "a.log").write_bytes("/x Created\r\n  \t \n \n last".encode())
     rows = logs.read_log_lines(spark, str(tmp_path), "entr", "stderr").collect()
