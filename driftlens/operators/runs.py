@@ -74,7 +74,8 @@ def _with_starts(placed: DataFrame, keys: Sequence[str], pos: str, tie: Sequence
 def activity_runs(df: DataFrame, keys: list[str], pos: str, gap: Column, min_chunk: int = MIN_CHUNK) -> DataFrame:
     """Add ``run_start``: the position where the row's run began.
 
-    A run ends where the next position of the key is at least ``gap`` away. Rows whose run began in an
+    A run ends where the next position of the key is at least ``gap`` away. Positions that may repeat very
+    often should be made distinct first, which bounds a chunk by its width. Rows whose run began in an
     earlier chunk take its start from a table with one row per key and occupied chunk.
     """
     marked = _with_starts(place_in_chunks(df, pos, gap, min_chunk), keys, pos).where(~F.col("_halo"))
