@@ -30,14 +30,14 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+def match_spans(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches as array<struct<s, e, m>>, offsets in code points.
 
     ``split`` and ``regexp_extract_all`` walk the same matches, so the pieces between matches and the matches
     themselves give every offset. The pattern never matches the empty string.
     """
     pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     empty = F.lit(None).cast("array<struct<s:bigint,e:bigint,m:string>>")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.coalesce(empty, F.array()).cast("array<struct<s:bigint,e:bigint,m:string>>").alias("out"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from driftlens.llm import exact_dedup, mixing
+from driftlens.llm import exact_dedup, license_scan, mixing, secret_scan
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLES = {
