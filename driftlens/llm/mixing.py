@@ -11,7 +11,8 @@ WEIGHTS = (3, 1, 2)
 BLOCK = 128            # words in a block
 SHARD = 1024           # places for blocks in an output shard
 ROUNDS = 24            # rounds of the permutation
-CHUNK = 50_000         # rows that one task numbers in order
+CHUNK = 50_000         # rows of counts that one task adds up in order
+DOC_CHUNK = 1_000      # documents of a source that are laid end to end together
 CELLS = 4096           # cells over the shares of the sources
 SEED = 20240
 
@@ -131,7 +132,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     facts = docs.select(F.col(ident).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     facts = cut_lineage(facts.withColumn("row", F.monotonically_increasing_id()))
     sizes = facts.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    chunks = sizes.select(F.col("source").alias("_s"), F.ceil(F.col("docs") / CHUNK).alias("_chunks"))
+    chunks = sizes.select(F.col("source").alias("_s"), F.ceil(F.col("docs") / DOC_CHUNK).alias("_chunks"))
     targets = source_targets(sizes.select("source", "source_size"))
     blocks = F.ceil(F.col("source_size") / block)
     plan = targets.withColumn("n_blocks", blocks).withColumn(
