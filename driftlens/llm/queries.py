@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from driftlens.llm import decontamination, exact_dedup, jaccard_join, license_scan, mixing, secret_scan
+from driftlens.llm import decontamination, exact_dedup, jaccard_join, license_scan, mixing, quality, secret_scan
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_quality": quality.op5_quality,
     "op6_decontamination": decontamination.op6_decontamination,
     "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_license_scan": license_scan.op10_license_scan,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_quality": quality.op5_quality,
     "op6_decontamination": decontamination.OP6_SQL,
     "op9_ngram_jaccard": jaccard_join.OP9_SQL,
 }
