@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftlens.llm import decontamination, exact_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, token_counts
+from driftlens.llm import decontamination, exact_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, substring_dedup, token_counts
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_suffix_dedup": substring_dedup.op8_suffix_dedup,
     "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_license_scan": license_scan.op10_license_scan,
 }
