@@ -170,5 +170,20 @@ def words_taken(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def keep_mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes words of, with all their columns and ``taken``, the words it takes.
+
+    Rows meet their counts on a hash of identifier, source and text; repeated rows are told apart by their number.
+    """
+    ident, source, text = (options.get(k, d) for k, d in (("ident", "doc_id"), ("source", "source"), ("text", "text")))
+    key = F.xxhash64(F.col(ident), F.col(source), F.col(text))
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "taken"]).alias("_doc"), key.alias("_key")).withColumn("_turn", turn)
+    narrow = docs.select(key.alias("_key"), F.col(source).alias("source"), F.col(text).alias("text"))
+    counts = words_taken(narrow, **{**options, "ident": "_key", "source": "source", "text": "text"}).where("taken > 0")
+    counts = counts.withColumn("_turn", turn).select("_key", "_turn", "taken")
+    return marked.join(counts, ["_key", "_turn"]).select("_doc.*", "taken")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(table(spark, sf_dir, "documents"))

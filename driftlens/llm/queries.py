@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from driftlens.llm import decontamination, exact_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, substring_dedup, token_counts
+from driftlens.llm import (
+    decontamination, exact_dedup, html_text, jaccard_join, license_scan, mixing, quality, secret_scan, substring_dedup, token_counts,
+)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_html_text": html_text.op2_html_text,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality": quality.op5_quality,
