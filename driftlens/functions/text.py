@@ -6,8 +6,6 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from driftlens.schema import RENDER_LENGTH
-
 
 def contains_ascii_nocase(text: Column, needle: str) -> Column:
     """Literal substring test that folds the case of ASCII letters only."""
@@ -52,9 +50,9 @@ def alert_message(name: Column, count: Column, last: Column) -> Column:
     return F.concat(F.lit("alert: "), name, F.lit(" ("), count.cast("string"), F.lit(" events) — "), last)
 
 
-def render_line(clock: Column, source: Column, message: Column) -> Column:
-    """One display line; long messages are cut (by characters)."""
-    return F.concat_ws(" ", clock, source, F.substring(message, 1, RENDER_LENGTH))
+def render_line(clock: Column, source: Column, message: Column, length: int | None = None) -> Column:
+    """One display line; with a ``length`` longer messages are cut to so many characters."""
+    return F.concat_ws(" ", clock, source, message if length is None else F.substring(message, 1, length))
 
 
 def heat_ratio(count: Column, top: Column) -> Column:

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from driftlens.functions.text import alert_message
-from driftlens.operators.ordering import with_ordinal
+from driftlens.operators.ordering import first_n, with_ordinal
 from driftlens.operators.predicates import not_alert_source
 from driftlens.operators.runs import MIN_CHUNK, TABLE_TYPE, chain_entries, place_in_chunks, select_spaced, whole_groups
-from driftlens.schema import ALERT_HISTORY, ALERT_SOURCE
+from driftlens.schema import ALERT_SOURCE
 
 # Rules beyond this number are joined in several rounds, each with a broadcast of at most this size.
 MAX_BROADCAST_RULES = 10_000
@@ -204,11 +204,13 @@ def alert_feedback(df: DataFrame, fired: DataFrame) -> DataFrame:
     return df.unionByName(news.select(*df.columns))
 
 
-def alert_history(fired: DataFrame, cap: int = ALERT_HISTORY) -> DataFrame:
-    """The latest alerts, newest first."""
-    return fired.orderBy(F.desc("fired_at"), F.desc("event_id"), F.desc("rule_no")).limit(cap)
+def alert_history(fired: DataFrame, cap: int | None = None) -> DataFrame:
+    """Alerts, newest first; with a ``cap`` only the latest so many."""
+    newest = [F.desc("fired_at"), F.desc("event_id"), F.desc("rule_no")]
+    return (fired if cap is None else first_n(fired, cap, newest)).orderBy(*newest)
 
 
-def alert_count(fired: DataFrame, cap: int = ALERT_HISTORY) -> DataFrame:
+def alert_count(fired: DataFrame, cap: int | None = None) -> DataFrame:
     """Number of alerts in the history."""
-    return alert_history(fired, cap).agg(F.count(F.lit(1)).alias("alerts"))
+    kept = fired if cap is None else alert_history(fired, cap)
+    return kept.agg(F.count(F.lit(1)).alias("alerts"))

@@ -25,7 +25,7 @@ def event_rate(df: DataFrame, step_ms: int = 1000) -> DataFrame:
     stop = F.least(F.col("last"), F.col("block") * _BLOCK + (_BLOCK - 1))
     spine = blocks.select(F.explode(F.sequence(start, stop)).alias("slot"))
     filled = zero_fill(slots, spine, "slot", "events")
-    return filled.select(F.timestamp_millis(F.col("slot") * step_ms).alias("ts"), "events", F.col("events").alias("events_sec"))
+    return filled.select(F.timestamp_millis(F.col("slot") * step_ms).alias("ts"), "events", (F.col("events") * 1000.0 / step_ms).alias("events_sec"))
 
 
 def rate_samples(rate: DataFrame, n: int = RATE_SAMPLES) -> DataFrame:

@@ -17,8 +17,9 @@ def matching(df: DataFrame, query: Query) -> DataFrame:
 
 
 def search_logs(df: DataFrame, query: Query) -> DataFrame:
-    """Newest matching rows first, at most the query's limit."""
-    return matching(df, query).orderBy(F.desc("ts"), F.desc("id")).limit(query.row_limit)
+    """Newest matching rows first, as many as the query asks for."""
+    newest = [F.desc("ts"), F.desc("id")]
+    return first_n(matching(df, query), query.row_limit, newest).orderBy(*newest)
 
 
 def export_order(df: DataFrame, query: Query = Query()) -> DataFrame:
@@ -31,11 +32,11 @@ def path_drilldown(df: DataFrame, path: str, limit: int = 0) -> DataFrame:
     return search_logs(df, Query(keyword=path, limit=limit))
 
 
-def tail(df: DataFrame, n: int = TAIL_LINES) -> DataFrame:
-    """The last ``n`` rows as display lines, oldest first."""
+def tail(df: DataFrame, n: int = TAIL_LINES, length: int | None = None) -> DataFrame:
+    """The last ``n`` rows as display lines, oldest first; ``length`` cuts long messages."""
     n = n if n > 0 else TAIL_LINES
     last = first_n(df, n, [F.desc("ts"), F.desc("id")])
-    line = render_line(clock(F.col("ts")), F.col("source"), F.col("message"))
+    line = render_line(clock(F.col("ts")), F.col("source"), F.col("message"), length)
     return last.withColumn("line", line).orderBy("ts", "id")
 
 

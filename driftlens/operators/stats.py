@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftlens.functions import paths, times
 from driftlens.operators.predicates import since
-from driftlens.schema import HOUR_BUCKETS, STATS_HOURS, TOP_PATHS
+from driftlens.schema import STATS_HOURS, TOP_PATHS
 
 
 def window_start(as_of: datetime, hours: int) -> datetime:
@@ -25,9 +25,15 @@ def zero_fill(counts: DataFrame, spine: DataFrame, key: str, value: str = "count
     return spine.join(counts.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
-def hour_spine(spark: SparkSession, as_of: datetime, hours: int) -> DataFrame:
+def bucket_count(as_of: datetime, hours: int, buckets: int | None = None) -> int:
+    """Hours from the one the window starts in to the one of ``as_of``, or the number asked for."""
     first = times.to_ms(window_start(as_of, hours)) // times.HOUR_MS
-    return spark.range(first, first + HOUR_BUCKETS, 1, 1).withColumnRenamed("id", "hour")
+    return buckets if buckets is not None else times.to_ms(as_of) // times.HOUR_MS - first + 1
+
+
+def hour_spine(spark: SparkSession, as_of: datetime, hours: int, buckets: int | None = None) -> DataFrame:
+    first = times.to_ms(window_start(as_of, hours)) // times.HOUR_MS
+    return spark.range(first, first + bucket_count(as_of, hours, buckets), 1, 1).withColumnRenamed("id", "hour")
 
 
 def weekday_spine(spark: SparkSession) -> DataFrame:
@@ -38,13 +44,15 @@ def total(df: DataFrame, as_of: datetime, hours: int = STATS_HOURS) -> DataFrame
     return recent(df, as_of, hours).agg(F.count(F.lit(1)).alias("total"))
 
 
-def hourly(df: DataFrame, as_of: datetime, hours: int = STATS_HOURS, zone: str = "UTC") -> DataFrame:
-    """24 hour buckets from the hour the window starts in; longer windows show their first 24."""
-    spine = hour_spine(df.sparkSession, as_of, hours)
+def hourly(
+    df: DataFrame, as_of: datetime, hours: int = STATS_HOURS, zone: str = "UTC", buckets: int | None = None
+) -> DataFrame:
+    """Hour buckets from the hour the window starts in to the current one, or just the first ``buckets`` of them."""
+    spine = hour_spine(df.sparkSession, as_of, hours, buckets)
     first = times.to_ms(window_start(as_of, hours)) // times.HOUR_MS
     counts = (
         recent(df, as_of, hours)
-        .where(F.col("ts") < times.at_ms((first + HOUR_BUCKETS) * times.HOUR_MS))
+        .where(F.col("ts") < times.at_ms((first + bucket_count(as_of, hours, buckets)) * times.HOUR_MS))
         .groupBy(times.epoch_hour(F.col("ts")).alias("hour"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -75,14 +83,17 @@ def top_paths(df: DataFrame, as_of: datetime, hours: int = STATS_HOURS, k: int =
     return counts.orderBy(F.desc("count"), "path").limit(k)
 
 
-def stats(df: DataFrame, as_of: datetime, hours: int = STATS_HOURS, zone: str = "UTC") -> DataFrame:
+def stats(
+    df: DataFrame, as_of: datetime, hours: int = STATS_HOURS, zone: str = "UTC", buckets: int | None = None
+) -> DataFrame:
     """All parts of the dashboard in one row, from one scan.
 
     The scan is grouped two ways at once: by (hour, source), which is small and yields every part but
     the last, and by leading token. Tokens may be many; only their top-n goes on. What is finally put
-    into arrays is 24 hours, 7 weekdays, the sources and the top paths.
+    into arrays is one count per hour, 7 weekdays, the sources and the top paths.
     """
     hours = hours if hours > 0 else STATS_HOURS
+    shown = bucket_count(as_of, hours, buckets)
     first = times.to_ms(window_start(as_of, hours)) // times.HOUR_MS
     rows = recent(df, as_of, hours).select(
         times.epoch_hour(F.col("ts")).alias("hour"),
@@ -95,7 +106,7 @@ def stats(df: DataFrame, as_of: datetime, hours: int = STATS_HOURS, zone: str =
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.grouping("path")).alias("kind"))
     )
     cells = grouped.where(F.col("kind") == 1).select(
-        F.when(F.col("hour") < first + HOUR_BUCKETS, F.col("hour")).alias("hour"),
+        F.when(F.col("hour") < first + shown, F.col("hour")).alias("hour"),
         times.weekday_of_hour(F.col("hour")).alias("weekday"),
         "source",
         "n",
@@ -118,7 +129,7 @@ def stats(df: DataFrame, as_of: datetime, hours: int = STATS_HOURS, zone: str =
         _ranked(of_source, "source").alias("sources"),
         _ranked(F.col("part").isNull(), "path").alias("paths"),
     )
-    hour_list = F.sequence(F.lit(first), F.lit(first + HOUR_BUCKETS - 1))
+    hour_list = F.sequence(F.lit(first), F.lit(first + shown - 1))
     day_list = F.sequence(F.lit(0), F.lit(6))
 
     def filled(counts: str, key: Column) -> Column:

@@ -13,16 +13,16 @@ from driftlens.operators.ordering import HOT_ROWS, group_row_number
 from driftlens.operators.predicates import has_message
 from driftlens.operators.search import oldest_n
 from driftlens.operators.stats import recent
-from driftlens.schema import STATS_HOURS, TREE_LIMIT
+from driftlens.schema import STATS_HOURS
 from driftlens.session import cut_lineage
 
 
 def path_rollup(
-    df: DataFrame, as_of: datetime, hours: int = STATS_HOURS, limit: int | None = TREE_LIMIT
+    df: DataFrame, as_of: datetime, hours: int = STATS_HOURS, limit: int | None = None
 ) -> DataFrame:
     """Events at each path and at all its ancestors up to ``/``: (path, parent, name, depth, count).
 
-    Reads the oldest ``limit`` events with a message, or all of them when ``limit`` is None. Events are
+    Reads all events with a message, or with a ``limit`` only the oldest so many. Events are
     counted per distinct path before ancestors are expanded, so the second shuffle carries paths.
     """
     rows = recent(df, as_of, hours).where(has_message())

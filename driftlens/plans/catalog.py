@@ -12,7 +12,7 @@ from driftlens.operators import alerts, diffs, predicates, rate, search, stats,
 from driftlens.operators.dedup import dedup_window
 from driftlens.operators.runs import activity_runs
 from driftlens.plans import fixtures
-from driftlens.schema import Query
+from driftlens.schema import ALERT_HISTORY, DIFF_MAX_BYTES, HOUR_BUCKETS, SEARCH_LIMIT_MAX, Query
 from driftlens.session import scratch_path
 from driftlens.sources import export, logs, settings, snapshots
 from driftlens.streaming import flows, folds
@@ -292,6 +292,12 @@ def bar_widths(spark, sf_dir):
     return sources.select("source", "count", text.bar_pct(F.col("count"), total).alias("pct"))
 
 
+@query
+def render_lines_cut(spark, sf_dir):
+    line = text.render_line(times.clock(F.col("ts")), F.col("source"), F.col("message"), 12)
+    return _log(spark, sf_dir).select("id", line.alias("line"))
+
+
 @query
 def render_lines(spark, sf_dir):
     line = text.render_line(times.clock(F.col("ts")), F.col("source"), F.col("message"))
@@ -309,6 +315,11 @@ def search_logs(spark, sf_dir):
 
 @query
 def search_logs_max(spark, sf_dir):
+    return _rows(search.search_logs(_log(spark, sf_dir), Query(limit=9999, cap=SEARCH_LIMIT_MAX)))
+
+
+@query
+def search_logs_wide(spark, sf_dir):
     return _rows(search.search_logs(_log(spark, sf_dir), Query(limit=9999)))
 
 
@@ -334,7 +345,15 @@ def top_paths(spark, sf_dir):
 
 @query
 def alert_history(spark, sf_dir):
-    fired = alerts.alert_history(alerts.fire_alerts(_log(spark, sf_dir), _rules(spark)))
+    return _history(alerts.alert_history(alerts.fire_alerts(_log(spark, sf_dir), _rules(spark)), ALERT_HISTORY))
+
+
+@query
+def alert_history_all(spark, sf_dir):
+    return _history(alerts.alert_history(alerts.fire_alerts(_log(spark, sf_dir), _rules(spark))))
+
+
+def _history(fired: DataFrame) -> DataFrame:
     return fired.select("id", "name", "count", F.unix_millis("fired_at").alias("fired_ms"), "last", "event_id")
 
 
@@ -344,6 +363,12 @@ def diff_history(spark, sf_dir):
     return changed.select("path", "version_id", F.unix_millis("ts").alias("ts_ms"))
 
 
+@query
+def diff_history_all(spark, sf_dir):
+    changed = diffs.diff_history(diffs.changed_pairs(fixtures.snapshots(spark, sf_dir)))
+    return changed.select("path", "version_id", F.unix_millis("ts").alias("ts_ms"))
+
+
 @query
 def sibling_order(spark, sf_dir):
     rollup = tree.path_rollup(_log(spark, sf_dir), _now(spark, sf_dir), MONTH, None)
@@ -360,11 +385,16 @@ def total(spark, sf_dir):
 
 @query
 def hourly(spark, sf_dir):
-    return stats.hourly(_log(spark, sf_dir), _now(spark, sf_dir))
+    return stats.hourly(_log(spark, sf_dir), _now(spark, sf_dir), buckets=HOUR_BUCKETS)
 
 
 @query
 def hourly_long_window(spark, sf_dir):
+    return stats.hourly(_log(spark, sf_dir), _now(spark, sf_dir), WEEK, buckets=HOUR_BUCKETS)
+
+
+@query
+def hourly_whole_window(spark, sf_dir):
     return stats.hourly(_log(spark, sf_dir), _now(spark, sf_dir), WEEK)
 
 
@@ -381,7 +411,15 @@ def by_source(spark, sf_dir):
 @query
 def dashboard(spark, sf_dir):
     """All dashboard parts from one scan, unfolded to rows for comparison."""
-    bundle = stats.stats(_log(spark, sf_dir), _now(spark, sf_dir))
+    return _unfolded(stats.stats(_log(spark, sf_dir), _now(spark, sf_dir), buckets=HOUR_BUCKETS))
+
+
+@query
+def dashboard_whole_window(spark, sf_dir):
+    return _unfolded(stats.stats(_log(spark, sf_dir), _now(spark, sf_dir), 60))
+
+
+def _unfolded(bundle: DataFrame) -> DataFrame:
     wide = bundle.select(
         F.array(F.struct(F.lit("all").alias("label"), F.col("total").alias("count"))).alias("total"),
         "hourly", "weekly",
@@ -428,12 +466,28 @@ def heatmap(spark, sf_dir):
 
 @query
 def event_rate(spark, sf_dir):
+    """Every second from the first to the last event, summed up by hour for comparison."""
+    samples = rate.event_rate(_log(spark, sf_dir))
+    return samples.groupBy(times.epoch_hour(F.col("ts")).alias("hour")).agg(
+        F.count(F.lit(1)).alias("seconds"), F.count_if(F.col("events") == 0).alias("idle"), F.sum("events").alias("events"),
+        F.max("events_sec").alias("peak"), F.unix_millis(F.min("ts")).alias("first_ms"),
+    )
+
+
+@query
+def event_rate_hourly(spark, sf_dir):
     samples = rate.event_rate(_log(spark, sf_dir), times.HOUR_MS)
-    return samples.select(F.unix_millis("ts").alias("ts_ms"), "events", "events_sec")
+    return samples.select(F.unix_millis("ts").alias("ts_ms"), "events", F.round("events_sec", 9).alias("events_sec"))
 
 
 @query
 def rate_samples(spark, sf_dir):
+    samples = rate.rate_samples(rate.event_rate(_log(spark, sf_dir)))
+    return samples.select(F.unix_millis("ts").alias("ts_ms"), "events", "max_events")
+
+
+@query
+def rate_samples_hourly(spark, sf_dir):
     samples = rate.rate_samples(rate.event_rate(_log(spark, sf_dir), times.HOUR_MS))
     return samples.select(F.unix_millis("ts").alias("ts_ms"), "events", "max_events")
 
@@ -446,6 +500,11 @@ def threshold_latch(spark, sf_dir):
 
 @query
 def alert_count(spark, sf_dir):
+    return alerts.alert_count(alerts.fire_alerts(_log(spark, sf_dir), _rules(spark)), ALERT_HISTORY)
+
+
+@query
+def alert_count_all(spark, sf_dir):
     return alerts.alert_count(alerts.fire_alerts(_log(spark, sf_dir), _rules(spark)))
 
 
@@ -467,7 +526,7 @@ def match_rules(spark, sf_dir):
 def zero_fill(spark, sf_dir):
     now = _now(spark, sf_dir)
     entr = _log(spark, sf_dir).where(predicates.source_eq("entr"))
-    return stats.hourly(entr, now, 24)
+    return stats.hourly(entr, now, 24, buckets=HOUR_BUCKETS)
 
 
 @query
@@ -551,7 +610,7 @@ def diff_stream(spark, sf_dir):
     snaps = fixtures.snapshots(spark, sf_dir)
     snaps.write.parquet(table)
     stream = spark.readStream.schema(snaps.schema).parquet(table)
-    return flows.run_to_table(folds.diff_stream(stream)).select("path", "version_id", F.unix_millis("ts").alias("ts_ms"))
+    return flows.run_to_table(folds.diff_stream(stream)).select("path", "version_id", F.unix_millis("ts").alias("ts_ms"), "added", "removed")
 
 
 @query
@@ -575,6 +634,18 @@ def eligible_snapshots(spark, sf_dir):
     return diffs.eligible_snapshots(fixtures.snapshots(spark, sf_dir)).select("path", "version_id")
 
 
+@query
+def eligible_small_snapshots(spark, sf_dir):
+    return diffs.eligible_snapshots(fixtures.snapshots(spark, sf_dir), DIFF_MAX_BYTES).select("path", "version_id")
+
+
+@query
+def file_diffs_small(spark, sf_dir):
+    """Files of at most 1 MiB, and no comparison of texts whose line counts multiply to more than 200."""
+    small = diffs.file_diffs(fixtures.snapshots(spark, sf_dir), max_bytes=DIFF_MAX_BYTES, max_cells=200)
+    return small.select("path", "version_id", "added", "removed")
+
+
 @query
 def changed_pairs(spark, sf_dir):
     changed = diffs.changed_pairs(fixtures.snapshots(spark, sf_dir))

@@ -70,22 +70,26 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Successive versions of twenty files, four versions per text: new, same, CRLF only, small edit."""
+    """Versions of files, ten documents after one another in each file; every document's own text is one version.
+
+    After it come the same text, the text with other line ends and a small edit; for some documents also a version with
+    a zero byte, one of over a mebibyte in one line, or one without a path.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    version = F.floor(F.col("doc_id") / 20)
-    named = docs.select(
-        "doc_id", "text", (version % 4).alias("step"), (F.col("doc_id") - 20 * (version % 4)).alias("base_id")
-    )
-    base = docs.select(F.col("doc_id").alias("base_id"), F.col("text").alias("base"))
-    text = (
-        F.when(F.col("step") == 2, F.replace("base", F.lit("\n"), F.lit("\r\n")))
-        .when(F.col("step") == 3, F.concat(F.replace("base", F.lit("the"), F.lit("THE")), F.lit("\nadded line")))
-        .otherwise(F.col("base"))
-    )
-    return named.drop("text").join(base, "base_id").select(
-        F.concat(F.lit("/docs/"), (F.col("doc_id") % 20).cast("string")).alias("path"),
-        F.col("doc_id").alias("version_id"),
-        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")).alias("ts"),
-        text.cast("binary").alias("content"),
+    doc, body = F.col("doc_id"), F.col("text")
+    large = F.repeat(F.replace(body, F.lit("\n"), F.lit(" ")), (F.floor(F.lit(1 << 20) / F.greatest(F.length(body), F.lit(1))) + 1).cast("int"))
+    edited = F.concat(F.replace(body, F.lit("the"), F.lit("THE")), F.lit("\nadded line"))
+    texts = [
+        body, body, F.replace(body, F.lit("\n"), F.lit("\r\n")), edited, F.when(doc % 7 == 3, F.concat(body, F.lit("\0"))),
+        F.when(doc % 41 == 5, large), F.when(doc % 11 == 4, F.concat(body, F.lit(" unnamed"))),
+    ]
+    steps = F.array(*[F.struct(F.lit(n).alias("step"), t.alias("content")) for n, t in enumerate(texts)])
+    made = docs.select("doc_id", F.explode(steps).alias("v")).select("doc_id", "v.*").where("content IS NOT NULL")
+    version = doc * 8 + F.col("step")
+    return made.select(
+        F.when(F.col("step") == 6, F.lit("")).otherwise(F.concat(F.lit("/docs/"), F.floor(doc / 10).cast("string"))).alias("path"),
+        version.alias("version_id"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + version).alias("ts"),
+        F.col("content").cast("binary").alias("content"),
     )

@@ -26,18 +26,23 @@ a AS (SELECT max(ts_ms) AS now FROM le)
 
 SNAPS = r"""
 snaps AS (
-  SELECT '/docs/' || CAST(d.doc_id % 20 AS VARCHAR) AS path, d.doc_id AS version_id,
-    (1704067200 + d.doc_id) * 1000 AS ts_ms,
-    CASE (d.doc_id // 20) % 4 WHEN 2 THEN replace(b.text, chr(10), chr(13) || chr(10))
-      WHEN 3 THEN replace(b.text, 'the', 'THE') || chr(10) || 'added line' ELSE b.text END AS content
-  FROM documents d JOIN documents b ON b.doc_id = d.doc_id - 20 * ((d.doc_id // 20) % 4)),
+  SELECT CASE WHEN step = 6 THEN '' ELSE '/docs/' || CAST(doc_id // 10 AS VARCHAR) END AS path, doc_id * 8 + step AS version_id,
+    (1704067200 + doc_id * 8 + step) * 1000 AS ts_ms, content
+  FROM (
+    SELECT doc_id, unnest(range(0, 7)) AS step, unnest([text, text, replace(text, chr(10), chr(13) || chr(10)),
+      replace(text, 'the', 'THE') || chr(10) || 'added line', CASE WHEN doc_id % 7 = 3 THEN text || chr(0) END,
+      CASE WHEN doc_id % 41 = 5 THEN repeat(replace(text, chr(10), ' '), 1048576 // greatest(length(text), 1) + 1) END,
+      CASE WHEN doc_id % 11 = 4 THEN text || ' unnamed' END]) AS content
+    FROM documents) WHERE content IS NOT NULL),
+eligible AS (SELECT * FROM snaps WHERE path <> '' AND NOT contains(content, chr(0))),
 clean AS (
-  SELECT path, version_id, ts_ms, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content
-  FROM snaps WHERE strlen(content) <= 1048576),
+  SELECT path, version_id, ts_ms, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM eligible),
 pairs AS (
   SELECT * FROM (SELECT path, version_id, ts_ms, content AS new,
     lag(content) OVER (PARTITION BY path ORDER BY ts_ms, version_id) AS old FROM clean) WHERE old <> new)
 """
+# The same with files of at most 1 MiB.
+SMALL_SNAPS = SNAPS.replace("NOT contains(content, chr(0))", "NOT contains(content, chr(0)) AND strlen(content) <= 1048576")
 
 RULES = """
 rules(rule_no, rule_id, rule_name, pattern, src, lvl, min_events, window_ms, sound) AS (VALUES
@@ -118,9 +123,10 @@ def _since(hours: int) -> str:
     return f"ts_ms >= now - {hours} * {HOUR_MS}"
 
 
-def _hourly(hours: int, where: str = "true") -> str:
+def _hourly(hours: int, where: str = "true", whole: bool = False) -> str:
+    last = f"now // {HOUR_MS} + 1" if whole else f"(now - {hours} * {HOUR_MS}) // {HOUR_MS} + 24"
     return f"""SELECT hour, lpad(CAST(hour % 24 AS VARCHAR), 2, '0') || ':00' AS label, coalesce(n, 0) AS count
-FROM (SELECT unnest(range((now - {hours} * {HOUR_MS}) // {HOUR_MS}, (now - {hours} * {HOUR_MS}) // {HOUR_MS} + 24)) AS hour FROM a)
+FROM (SELECT unnest(range((now - {hours} * {HOUR_MS}) // {HOUR_MS}, {last})) AS hour FROM a)
 LEFT JOIN (SELECT ts_ms // {HOUR_MS} AS hour, count(*) AS n FROM le, a WHERE {_since(hours)} AND {where} GROUP BY ALL) USING (hour)"""
 
 
@@ -174,6 +180,38 @@ counted AS (
   FROM lined JOIN lcs USING (version_id) WHERE i = len(x))
 """
 
+# The same lengths from the ends of both texts, and a walk from their starts: the old side goes first where both ways
+# are as long. Between two common lines the removed ones stand before the added ones.
+WALK = LCS + """,
+ends AS (SELECT version_id, list_reverse(x) AS x, list_reverse(y) AS y FROM lined),
+back(version_id, i, best) AS (
+  SELECT version_id, 0, list_transform(y, lambda v: 0) FROM ends
+  UNION ALL
+  SELECT version_id, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (
+    SELECT l.version_id, l.i,
+      list_transform(range(1, len(y) + 1), lambda j: CASE WHEN y[j] = x[l.i + 1]
+        THEN CASE WHEN j = 1 THEN 0 ELSE l.best[j - 1] END + 1 ELSE l.best[j] END) AS c
+    FROM back l JOIN ends USING (version_id) WHERE l.i < len(x))),
+walk(version_id, i, j, seg, kind, line_no, line) AS (
+  SELECT version_id, 0, 0, 0, '', 0, '' FROM lined
+  UNION ALL
+  SELECT version_id, i + (kind <> 'added')::INT, j + (kind <> 'removed')::INT, seg + (kind = 'context')::INT, kind,
+    CASE WHEN kind = 'removed' THEN i + 1 ELSE j + 1 END, CASE WHEN kind = 'removed' THEN x[i + 1] ELSE y[j + 1] END
+  FROM (
+    SELECT w.version_id, w.i, w.j, w.seg, l.x, l.y,
+      CASE WHEN w.i < len(l.x) AND w.j < len(l.y) AND l.x[w.i + 1] = l.y[w.j + 1] THEN 'context'
+        WHEN w.j = len(l.y) OR (w.i < len(l.x) AND
+          coalesce(d.best[len(l.y) - w.j], 0) >= CASE WHEN len(l.y) - w.j - 1 = 0 THEN 0 ELSE s.best[len(l.y) - w.j - 1] END) THEN 'removed'
+        ELSE 'added' END AS kind
+    FROM walk w JOIN lined l USING (version_id)
+      LEFT JOIN back s ON s.version_id = w.version_id AND s.i = len(l.x) - w.i
+      LEFT JOIN back d ON d.version_id = w.version_id AND d.i = len(l.x) - w.i - 1
+    WHERE w.i < len(l.x) OR w.j < len(l.y))),
+steps AS (
+  SELECT *, CASE kind WHEN 'context' THEN seg - 1 ELSE seg END AS block,
+    CASE kind WHEN 'removed' THEN 0 WHEN 'added' THEN 1 ELSE 2 END AS turn FROM walk WHERE kind <> '')
+"""
+
 _FIRED_ROWS = "SELECT id, name, count, fired_ms, last, event_id, sound FROM fired"
 _WHERE = {
     "filter_since": f"ts_ms >= now - 3 * {DAY_MS}",
@@ -202,6 +240,26 @@ WHERE source = 'plugin:sample' OR (source IN ({sources}) AND CASE WHEN source =
     )
 
 
+def _rate(step: int) -> str:
+    return f"""SELECT slot * {step} AS ts_ms, coalesce(n, 0) AS events, round(coalesce(n, 0) * 1000.0::DOUBLE / {step}, 9) AS events_sec
+FROM (SELECT unnest(range(min(ts_ms) // {step}, max(ts_ms) // {step} + 1)) AS slot FROM le)
+LEFT JOIN (SELECT ts_ms // {step} AS slot, count(*) AS n FROM le GROUP BY ALL) USING (slot)"""
+
+
+def _samples(step: int) -> str:
+    return f"""SELECT ts_ms, events, max(events) OVER () AS max_events FROM (SELECT * FROM ({_rate(step)}) ORDER BY ts_ms DESC LIMIT 60)"""
+
+
+def _dashboard(hours: int, whole: bool = False) -> str:
+    return _log(
+        f"""SELECT 'total' AS part, CAST(0 AS INTEGER) AS pos, 'all' AS label, count(*) AS count FROM le, a WHERE {_since(hours)}
+UNION ALL SELECT 'hourly', CAST(row_number() OVER (ORDER BY hour) - 1 AS INTEGER), label, count FROM ({_hourly(hours, whole=whole)})
+UNION ALL SELECT 'weekly', weekday, label, count FROM ({_weekday(hours)})
+UNION ALL SELECT 'by_source', CAST(row_number() OVER (ORDER BY count DESC, source) - 1 AS INTEGER), source, count FROM ({_by_source(hours)})
+UNION ALL SELECT 'top_paths', CAST(row_number() OVER (ORDER BY count DESC, path) - 1 AS INTEGER), path, count FROM ({_top_paths(hours)})"""
+    )
+
+
 ORACLES: dict[str, str] = {
     **{name: _log(f"SELECT {ROWS} FROM le, a WHERE {where}") for name, where in _WHERE.items()},
     "append_and_read_logs": _log(
@@ -251,7 +309,7 @@ FROM (SELECT id, path, unnest(range(2, len(string_split(path, '/')) + 1)) AS n F
         """SELECT version_id, CAST(len(lines) AS BIGINT) AS lines, CAST(len(lines) AS BIGINT) AS counted,
   CAST(length(array_to_string(lines, '')) AS BIGINT) AS chars
 FROM (SELECT version_id, CASE WHEN content[-1:] = chr(10) THEN string_split(content, chr(10))[:-2]
-  ELSE string_split(content, chr(10)) END AS lines FROM clean)""",
+  ELSE string_split(content, chr(10)) END AS lines FROM (SELECT * REPLACE (replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content) FROM snaps))""",
     ),
     "alert_messages": _log("SELECT event_id, id, alert AS message FROM fired", FIRED),
     "bar_widths": _log(
@@ -263,6 +321,22 @@ FROM (SELECT version_id, CASE WHEN content[-1:] = chr(10) THEN string_split(cont
         f"SELECT {ROWS} FROM le, a WHERE ts_ms >= now - 14 * {DAY_MS} AND source = 'fswatch' "
         f"AND contains({NOCASE}, 'created') ORDER BY ts_ms DESC, id DESC LIMIT 200"
     ),
+    "search_logs_wide": _log(f"SELECT {ROWS} FROM le ORDER BY ts_ms DESC, id DESC LIMIT 9999"),
+    "render_lines_cut": _log(f"SELECT id, {CLOCK} || ' ' || source || ' ' || substr(message, 1, 12) AS line FROM le"),
+    "alert_count_all": _log("SELECT count(*) AS alerts FROM fired", FIRED),
+    "alert_history_all": _log("SELECT id, name, count, fired_ms, last, event_id FROM fired", FIRED),
+    "diff_history_all": _sql(SNAPS, "SELECT path, version_id, ts_ms FROM pairs"),
+    "eligible_small_snapshots": _sql(SMALL_SNAPS, "SELECT path, version_id FROM eligible"),
+    "file_diffs_small": _sql(
+        SMALL_SNAPS + LCS,
+        "SELECT path, version_id, CASE WHEN len(x) * len(y) > 200 THEN 0 ELSE added END AS added, "
+        "CASE WHEN len(x) * len(y) > 200 THEN 0 ELSE removed END AS removed FROM counted JOIN lined USING (path, version_id)",
+    ),
+    "diff_lines": _sql(
+        SNAPS + WALK,
+        """SELECT l.path, s.version_id, CAST(row_number() OVER (PARTITION BY s.version_id ORDER BY block, turn, line_no) - 1 AS INTEGER) AS position,
+  kind, line, CAST(line_no AS INTEGER) AS line_no FROM steps s JOIN lined l USING (version_id)""",
+    ),
     "search_logs_max": _log(f"SELECT {ROWS} FROM le ORDER BY ts_ms DESC, id DESC LIMIT 5000"),
     "export_order": _log(f"SELECT {ROWS} FROM le WHERE source = 'logstream' ORDER BY ts_ms, id"),
     "tail": _log(
@@ -286,13 +360,9 @@ FROM nodes""",
     "hourly_long_window": _log(_hourly(168)),
     "weekday_counts": _log(_weekday(60)),
     "by_source": _log(_by_source(168)),
-    "dashboard": _log(
-        f"""SELECT 'total' AS part, CAST(0 AS INTEGER) AS pos, 'all' AS label, count(*) AS count FROM le, a WHERE {_since(24)}
-UNION ALL SELECT 'hourly', CAST(row_number() OVER (ORDER BY hour) - 1 AS INTEGER), label, count FROM ({_hourly(24)})
-UNION ALL SELECT 'weekly', weekday, label, count FROM ({_weekday(24)})
-UNION ALL SELECT 'by_source', CAST(row_number() OVER (ORDER BY count DESC, source) - 1 AS INTEGER), source, count FROM ({_by_source(24)})
-UNION ALL SELECT 'top_paths', CAST(row_number() OVER (ORDER BY count DESC, path) - 1 AS INTEGER), path, count FROM ({_top_paths(24)})"""
-    ),
+    "dashboard": _dashboard(24),
+    "dashboard_whole_window": _dashboard(60, True),
+    "hourly_whole_window": _log(_hourly(168, whole=True)),
     "path_rollup": _log("SELECT path, parent, name, depth, count FROM nodes", _nodes()),
     "path_rollup_limited": _log(
         "SELECT path, parent, name, depth, count FROM nodes",
@@ -331,16 +401,12 @@ FROM nodes, (SELECT max(count) AS top FROM nodes)""",
         _nodes(),
     ),
     "event_rate": _log(
-        f"""SELECT slot * {HOUR_MS} AS ts_ms, coalesce(n, 0) AS events, coalesce(n, 0) AS events_sec
-FROM (SELECT unnest(range(min(ts_ms) // {HOUR_MS}, max(ts_ms) // {HOUR_MS} + 1)) AS slot FROM le)
-LEFT JOIN (SELECT ts_ms // {HOUR_MS} AS slot, count(*) AS n FROM le GROUP BY ALL) USING (slot)"""
-    ),
-    "rate_samples": _log(
-        f"""SELECT ts_ms, events, max(events) OVER () AS max_events FROM (
-SELECT slot * {HOUR_MS} AS ts_ms, coalesce(n, 0) AS events
-FROM (SELECT unnest(range(min(ts_ms) // {HOUR_MS}, max(ts_ms) // {HOUR_MS} + 1)) AS slot FROM le)
-LEFT JOIN (SELECT ts_ms // {HOUR_MS} AS slot, count(*) AS n FROM le GROUP BY ALL) USING (slot) ORDER BY slot DESC LIMIT 60)"""
+        f"""SELECT ts_ms // {HOUR_MS} AS hour, count(*) AS seconds, count(*) FILTER (WHERE events = 0) AS idle,
+  CAST(sum(events) AS BIGINT) AS events, max(events_sec) AS peak, min(ts_ms) AS first_ms FROM ({_rate(1000)}) GROUP BY ALL"""
     ),
+    "event_rate_hourly": _log(_rate(HOUR_MS)),
+    "rate_samples": _log(_samples(1000)),
+    "rate_samples_hourly": _log(_samples(HOUR_MS)),
     "threshold_latch": """SELECT coalesce(bool_or(value >= 200), false) AS warned,
   min(epoch_us(ts) // 1000) FILTER (WHERE value >= 200) AS first_ms, CAST(200 AS INTEGER) AS threshold FROM events""",
     "alert_count": _log("SELECT least(count(*), 100) AS alerts FROM fired", FIRED),
@@ -356,7 +422,7 @@ LEFT JOIN (SELECT ts_ms // {HOUR_MS} AS slot, count(*) AS n FROM le GROUP BY ALL
     "previous_snapshot": _sql(
         SNAPS,
         """SELECT path, version_id, lag(strlen(content)) OVER (PARTITION BY path ORDER BY ts_ms, version_id) AS prev_bytes
-FROM snaps WHERE strlen(content) <= 1048576""",
+FROM eligible""",
     ),
     "runs_of_activity": _log(
         """SELECT level, min(ts_ms) AS run_start, count(*) AS moments FROM
@@ -383,9 +449,9 @@ WHERE (ts_ms // {HOUR_MS} + 1) * {HOUR_MS} <= now - {HOUR_MS} GROUP BY ALL"""
         f"""SELECT '{{"ts":"' || {RFC3339} || '","source":"' || source || '","level":"' || level || '","message":"' || message || '"}}' AS value
 FROM le"""
     ),
-    "diff_stream": _sql(SNAPS, "SELECT path, version_id, ts_ms FROM pairs"),
+    "diff_stream": _sql(SNAPS + LCS, "SELECT path, version_id, ts_ms, added, removed FROM counted"),
     "on_fire": _log("SELECT id, event_id, count FROM fired WHERE sound", FIRED),
-    "eligible_snapshots": _sql(SNAPS, "SELECT path, version_id FROM snaps WHERE strlen(content) <= 1048576 AND NOT contains(content, chr(0))"),
+    "eligible_snapshots": _sql(SNAPS, "SELECT path, version_id FROM eligible"),
     "changed_pairs": _sql(SNAPS, "SELECT path, version_id, length(old) AS old_chars, length(new) AS new_chars FROM pairs"),
     "file_diffs": _sql(SNAPS + LCS, "SELECT path, version_id, added, removed FROM counted"),
     "diff_rebuild": _sql(

@@ -74,14 +74,19 @@ RENDER_LENGTH = 2048
 
 @dataclass(frozen=True)
 class Query:
-    """Search conditions; an unset part does not filter."""
+    """Search conditions; an unset part does not filter.
+
+    Without a ``limit`` the default number of rows is meant. ``cap`` bounds what may be asked for; there is none by default.
+    """
 
     since: datetime | None = None
     until: datetime | None = None
     source: str = ""
     keyword: str = ""
     limit: int = 0
+    cap: int | None = None
 
     @property
     def row_limit(self) -> int:
-        return min(self.limit, SEARCH_LIMIT_MAX) if self.limit > 0 else SEARCH_LIMIT
+        asked = self.limit if self.limit > 0 else SEARCH_LIMIT
+        return asked if self.cap is None else min(asked, self.cap)

@@ -9,8 +9,8 @@ def one(spark, value, fn):
 
 
 @pytest.mark.parametrize("message, path", [
-    ("/private/tmp/a Created IsFile", "/private/tmp/a"),
-    ("log stream Output: /var/log/x", "/var/log/x"),
+    ("/srv/spool/q7 Updated IsDir", "/srv/spool/q7"),
+    ("written to: /opt/data/y", "/opt/data/y"),
     ("no path here", ""),
     ("relative/X Y", ""),
     (" /a b", "/a"),
@@ -89,6 +89,7 @@ def test_alert_message(spark):
     assert made == "alert: n (3 events) — last"
 
 
-def test_rendered_line_is_cut(spark):
-    line = one(spark, "x" * 5000, lambda v: text.render_line(F.lit("00:00:00"), F.lit("s"), v))
-    assert line == "00:00:00 s " + "x" * 2048
+def test_rendered_line_is_cut_on_request(spark):
+    cut = lambda length: one(spark, "x" * 5000, lambda v: text.render_line(F.lit("00:00:00"), F.lit("s"), v, length))
+    assert cut(2048) == "00:00:00 s " + "x" * 2048
+    assert cut(None) == "00:00:00 s " + "x" * 5000

@@ -8,10 +8,10 @@ from driftlens.operators.ordering import first_n, with_ordinal
 from driftlens.schema import Query
 
 ROWS = [
-    (1, 0, "fswatch", "stdout", "/var/log/a created"),
-    (2, 1000, "entr", "stdout", "/var/log/b changed"),
-    (3, 2000, "fswatch", "stdout", "/var/cache/c removed"),
-    (4, 2000, "logstream", "stderr", "100% full É"),
+    (1, 0, "fswatch", "stdout", "/srv/mail/in created"),
+    (2, 1000, "entr", "stdout", "/srv/mail/out changed"),
+    (3, 2000, "fswatch", "stdout", "/opt/spool/c removed"),
+    (4, 2000, "logstream", "stderr", "95% done É"),
 ]
 
 
@@ -24,17 +24,18 @@ def test_newest_first_with_id_tie_break(log_of):
 
 
 def test_limit_defaults_and_cap():
-    assert [Query(limit=n).row_limit for n in (-1, 0, 7, 5000, 9000)] == [200, 200, 7, 5000, 5000]
+    assert [Query(limit=n).row_limit for n in (-1, 0, 7, 5000, 9000)] == [200, 200, 7, 5000, 9000]
+    assert [Query(limit=n, cap=5000).row_limit for n in (-1, 0, 7, 5000, 9000)] == [200, 200, 7, 5000, 5000]
 
 
 def test_keyword_is_literal_and_ascii_case_insensitive(log_of):
     df = log_of(ROWS)
-    assert ids(S.search_logs(df, Query(keyword="VAR/LOG"))) == [2, 1]
-    assert ids(S.search_logs(df, Query(keyword="100%"))) == [4]
+    assert ids(S.search_logs(df, Query(keyword="SRV/MAIL"))) == [2, 1]
+    assert ids(S.search_logs(df, Query(keyword="95%"))) == [4]
     assert ids(S.search_logs(df, Query(keyword="É"))) == [4]
     assert ids(S.search_logs(df, Query(keyword="é"))) == []
     assert ids(S.search_logs(df, Query(keyword="_"))) == []
-    assert ids(S.search_logs(df, Query(keyword="a.c"))) == []
+    assert ids(S.search_logs(df, Query(keyword="n.c"))) == []
 
 
 def test_time_bounds_are_inclusive_at_millisecond_resolution(spark, at):
@@ -64,10 +65,27 @@ def test_parse_query():
             P.parse_query({field: value})
 
 
+@pytest.mark.parametrize("value", [
+    "2024-W01-1T00:00:00Z", "2024-01-01T00Z", "2024-01-01T00:00Z", "2024-01-01T000000Z", "2024-01-01T00:00:00", "2024-13-01T00:00:00Z",
+    "2024-01-01T00:00:00+0200", " 2024-01-01T00:00:00Z", "2024-01-01t00:00:00z", "2024-01-01T00:00:00,5Z",
+])
+def test_only_full_times_are_accepted(value):
+    with pytest.raises(ValueError, match="until"):
+        P.parse_query({"until": value})
+
+
+def test_times_with_fractions_and_offsets():
+    wanted = P.parse_query({"since": "2024-01-01T02:00:00.123456789+02:00"})
+    assert wanted.since == datetime(2024, 1, 1, 0, 0, 0, 123456, timezone.utc)
+    assert [P.parse_query({"limit": n}).limit for n in ("1_000", " 7 ", "+7", "-3", "7.0", "")] == [0, 0, 7, -3, 0, 0]
+
+
 def test_live_and_multi_field_filters(log_of):
     df = log_of(ROWS)
-    assert ids(P.live_filter(df, "FSWATCH /var/LOG").orderBy("id")) == [1]
-    assert ids(P.live_filter(df, "FULL é")) == [4]
+    assert ids(P.live_filter(df, "FSWATCH /srv/MAIL").orderBy("id")) == [1]
+    assert ids(P.live_filter(df, "DONE é")) == [4]
+    long = log_of([(1, 0, "s", "l", "x" * 3000 + "needle"), (2, 0, "s", "l", "x" * 3000)])
+    assert ids(P.live_filter(long, "NEEDLE")) == [1]
     assert ids(P.multi_field_filter(df, "  ENTR ")) == [2]
     assert ids(P.multi_field_filter(df, " ").orderBy("id")) == [1, 2, 3, 4]
 
@@ -86,7 +104,7 @@ def test_presets_scope_by_path_or_text(log_of):
 
 def test_tail_shows_last_lines_oldest_first(log_of):
     lines = [r.line for r in S.tail(log_of(ROWS), 2).collect()]
-    assert lines == ["22:13:22 fswatch /var/cache/c removed", "22:13:22 logstream 100% full É"]
+    assert lines == ["22:13:22 fswatch /opt/spool/c removed", "22:13:22 logstream 95% done É"]
 
 
 def test_large_first_n_equals_small_one(spark, monkeypatch):
@@ -109,4 +127,4 @@ def test_ordinals_are_dense_within_skewed_groups(spark):
 
 
 def test_drilldown_uses_the_path_as_keyword(log_of):
-    assert ids(S.path_drilldown(log_of(ROWS), "/var/log")) == [2, 1]
+    assert ids(S.path_drilldown(log_of(ROWS), "/srv/mail")) == [2, 1]

@@ -4,31 +4,31 @@ from driftlens.operators import rate, stats, tree
 
 HOUR = 3_600_000
 ROWS = [
-    (1, -5 * HOUR, "fswatch", "stdout", "/var/log/a created"),
-    (2, -HOUR, "fswatch", "stdout", "/var/log/a created"),
-    (3, -60_000, "fswatch", "stdout", "/var/log/a changed"),
+    (1, -5 * HOUR, "fswatch", "stdout", "/srv/mail/in created"),
+    (2, -HOUR, "fswatch", "stdout", "/srv/mail/in created"),
+    (3, -60_000, "fswatch", "stdout", "/srv/mail/in changed"),
     (4, -60_000, "entr", "stdout", "heartbeat"),
 ]
 
 
 def test_dashboard_parts(log_of, at):
     df = log_of(ROWS)
-    row = stats.stats(df, at(0), 2).first()
+    row = stats.stats(df, at(0), 2, buckets=24).first()
     assert row.total == stats.total(df, at(0), 2).first().total == 3
     assert len(row.hourly) == 24 and sum(b["count"] for b in row.hourly) == 3
-    assert [b.label for b in row.hourly] == [r.label for r in stats.hourly(df, at(0), 2).collect()]
-    assert [b["count"] for b in row.hourly] == [r["count"] for r in stats.hourly(df, at(0), 2).collect()]
+    assert [b.label for b in row.hourly] == [r.label for r in stats.hourly(df, at(0), 2, buckets=24).collect()]
+    assert [b["count"] for b in row.hourly] == [r["count"] for r in stats.hourly(df, at(0), 2, buckets=24).collect()]
     assert [tuple(b) for b in row.weekly] == [(r.label, r["count"]) for r in stats.weekday_counts(df, at(0), 2).collect()]
     assert len(row.weekly) == 7
     assert [tuple(s) for s in row.by_source] == [("fswatch", 2), ("entr", 1)]
     assert [tuple(s) for s in row.by_source] == [tuple(r) for r in stats.by_source(df, at(0), 2).collect()]
-    assert [tuple(p) for p in row.top_paths] == [("/var/log/a", 2), ("", 1)]
+    assert [tuple(p) for p in row.top_paths] == [("/srv/mail/in", 2), ("", 1)]
     assert [tuple(p) for p in row.top_paths] == [tuple(r) for r in stats.top_paths(df, at(0), 2).collect()]
     assert row.window_sec == 7200
 
 
 def test_dashboard_of_no_events(log_of, at):
-    row = stats.stats(log_of(ROWS), at(100 * HOUR), 0).first()
+    row = stats.stats(log_of(ROWS), at(100 * HOUR), 0, buckets=24).first()
     assert (row.total, len(row.hourly), row.by_source, row.top_paths, row.window_sec) == (0, 24, [], [], 86400)
 
 
@@ -40,10 +40,13 @@ def test_dashboard_reads_the_table_once(log_of, at, tmp_path, spark):
 
 
 def test_current_partial_hour_is_cut_off(log_of, at):
-    # 24 hours back touch 25 hour buckets; only the first 24 are shown.
+    # 24 hours back touch 25 hour buckets; asking for 24 cuts off the current one.
     df = log_of([(1, 0, "s", "l", "m x")])
     assert stats.total(df, at(0), 24).first().total == 1
-    assert stats.hourly(df, at(0), 24).agg(F.sum("count")).first()[0] == 0
+    assert stats.hourly(df, at(0), 24, buckets=24).agg(F.sum("count")).first()[0] == 0
+    whole = stats.hourly(df, at(0), 24)
+    assert whole.count() == 25 and whole.agg(F.sum("count")).first()[0] == 1
+    assert len(stats.stats(df, at(0), 24).first().hourly) == 25
 
 
 def test_empty_messages_are_dropped_from_top_paths(log_of, at):
