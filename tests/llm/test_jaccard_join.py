@@ -1,0 +1,74 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from driftlens.llm.jaccard_join import Signatures, jaccard_join, keep_one
+
+
+def brute(rows, k=4, percent=85):
+    sets = []
+    for _, text in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    ids = {}
+    for g, (i, _) in zip(group, rows, strict=True):
+        ids.setdefault(g, []).append(i)
+    first = {g: min((x for x in m if x is not None), default=None) for g, m in ids.items()}
+    return [(i, len(s), first[g]) for (i, _), s, g in zip(rows, sets, group, strict=True)]
+
+
+def near_copies():
+    rng = random.Random(6)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 4, 5, 12, 30, 80, 200]))]
+        for _ in range(rng.choice([2, 5, 25])):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 1 + len(words) // 25 + 1)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+key = lambda r: tuple(map(str, r))
+
+
+@pytest.mark.parametrize("tile", [1500, 4])
+def test_against_brute_force(docs_of, awkward, tile):
+    rows = near_copies() + [(None if i is None else 1000 + i, t) for i, t in awkward]
+    got = [tuple(r) for r in jaccard_join(docs_of(rows, clashing=True), tile=tile).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows), key=key)
+
+
+def test_one_of_each_stays(docs_of):
+    rows = near_copies() + [(900, None), (901, ""), (902, "same words here now"), (902, "same words here now")]
+    kept = keep_one(docs_of(rows, clashing=True), words=5, percent=80)
+    want = {c for _, _, c in brute(rows, 5, 80)}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_linked_sets_share_a_signature():
+    rng = np.random.default_rng(1)
+    for percent in (80, 85):
+        sign = Signatures(percent)
+        for _ in range(1500):
+            n = int(rng.integers(1, 120))
+            a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            drop, add = int(rng.integers(0, 1 + n // 5)), int(rng.integers(0, 1 + n // 5))
+            b = np.unique(np.concatenate((a[drop:], rng.integers(0, 1 << 62, add).astype(np.uint64))))
+            a = np.unique(a)
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+                assert np.intersect1d(sign.of(a), sign.of(b)).size
+
+
+def test_empty_table(docs_of):
+    assert jaccard_join(docs_of([])).count() == 0 and keep_one(docs_of([])).count() == 0
