@@ -91,20 +91,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percen
 
     Words are compared in lower case without punctuation. An overlap counts when ``percent`` in a hundred of some
     ``window`` words of an item (of the whole item if it is shorter) stand in the document at one distance, so single
-    words may be replaced. Items of fewer than five words are not searched for. Null and empty texts have no words;
-    repeated rows count once; empty tables give no rows; other columns are not read.
+    words may be replaced. Items of fewer than five words are not searched for. Null and empty texts have no words; null
+    identifiers are reported as null; repeated rows count once; empty tables give no rows; other columns are not read.
     """
     texts = docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    items = benchmark.select(F.col(item).alias("item"), words_of(F.col(item_text)).alias("words"))
+    named = benchmark.select(
+        F.xxhash64(F.col(item), F.col(item_text)).alias("item"), F.col(item).alias("item_id"), words_of(F.col(item_text)).alias("words")
+    ).dropDuplicates(["item"])
+    items = named.select("item", "words")
     found = cut_lineage(hits(texts.select("key", words_of(F.col("text")).alias("words")), items, block_keys))
     keys = found.select("key").distinct()
     asked = F.broadcast(keys) if keys.count() <= few else keys
     held = texts.join(asked, "key", "left_semi").dropDuplicates(["key"]).select("id", "key", words_of(F.col("text")).alias("words"))
-    pairs = found.join(held, "key").join(items.withColumnRenamed("words", "item_words"), "item")
+    pairs = found.join(held, "key").join(named.withColumnRenamed("words", "item_words"), "item")
     good = verified(pairs, window, percent)
     best = F.max(F.struct("best", "same", (-F.col("start")).alias("neg_start"), "overlap")).alias("b")
-    return good.groupBy("key", "item").agg(F.first("id").alias("id"), best).select(
-        "id", "key", "item", (-F.col("b.neg_start")).alias("start"), F.col("b.overlap").alias("overlap"),
+    return good.groupBy("key", "item").agg(F.first("id").alias("id"), F.first("item_id").alias("item_id"), best).select(
+        "id", "key", F.col("item_id").alias("item"), (-F.col("b.neg_start")).alias("start"), F.col("b.overlap").alias("overlap"),
         F.col("b.same").alias("same"), F.col("b.best").alias("best"))
 
 
