@@ -63,6 +63,7 @@ def heat(count: Column, top: Column) -> Column:
     """Colour of a node: struct(hue, lightness, css); the base colour where there is nothing to show."""
     ratio = heat_ratio(count, top)
     hue, light = F.lit(200.0) - ratio * 100, F.lit(50.0) - ratio * 20
+    # The base colour is a fixed value.
     css = F.concat(F.lit("hsl("), _number(hue), F.lit(", 80%, "), _number(light), F.lit("%)"))
     return F.struct(
         hue.alias("hue"),

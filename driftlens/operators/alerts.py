@@ -192,16 +192,20 @@ def _count_chunk(rows: pd.DataFrame, carried: int) -> tuple[list[tuple[int, int]
     return fired, len(times) - oldest
 
 
-def alert_feedback(df: DataFrame, fired: DataFrame) -> DataFrame:
-    """Events plus one ``alert`` event per fired alert; those never count toward rules again."""
-    news = fired.select(
+def alert_events(fired: DataFrame) -> DataFrame:
+    """One ``alert`` event per fired alert."""
+    return fired.select(
         F.lit(None).cast("bigint").alias("id"),
         F.col("fired_at").alias("ts"),
         F.lit(ALERT_SOURCE).alias("source"),
         F.lit("warn").alias("level"),
         alert_message(F.col("name"), F.col("count"), F.col("last")).alias("message"),
     )
-    return df.unionByName(news.select(*df.columns))
+
+
+def alert_feedback(df: DataFrame, fired: DataFrame) -> DataFrame:
+    """Events plus one ``alert`` event per fired alert; those never count toward rules again."""
+    return df.unionByName(alert_events(fired).select(*df.columns))
 
 
 def alert_history(fired: DataFrame, cap: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from driftlens.operators import alerts, diffs, predicates, rate, search, stats,
 from driftlens.operators.dedup import dedup_window
 from driftlens.operators.runs import activity_runs
 from driftlens.plans import fixtures
-from driftlens.schema import ALERT_HISTORY, DIFF_MAX_BYTES, HOUR_BUCKETS, SEARCH_LIMIT_MAX, Query
+from driftlens.schema import ALERT_HISTORY, DIFF_MAX_BYTES, HOUR_BUCKETS, LOG_SCHEMA, SEARCH_LIMIT_MAX, Query
 from driftlens.session import scratch_path
 from driftlens.sources import export, logs, settings, snapshots
 from driftlens.streaming import flows, folds
@@ -75,6 +75,57 @@ def append_and_read_logs(spark, sf_dir):
     return _rows(logs.read_log_table(spark, table))
 
 
+@query
+def append_two_writers(spark, sf_dir):
+    """A stream and appends by hand into one table, taking turns."""
+    table, log = scratch_path(spark, "two-writers"), _log(spark, sf_dir)
+    for turn in range(4):
+        part = log.where(F.col("id") % 4 == turn)
+        if turn % 2:
+            logs.append_logs(part, table)
+        else:
+            logs.append_logs(part, table, turn // 2, "stream_a")
+    logs.append_logs(log.where(F.col("id") % 4 == 2), table, 1, "stream_a")
+    return _stored(spark, table)
+
+
+@query
+def append_after_restart(spark, sf_dir):
+    """Two streaming queries, each with a checkpoint of its own, into one table."""
+    table = scratch_path(spark, "restarted")
+    for half in range(2):
+        part = _stream(spark, sf_dir).where(F.col("id") % 2 == half)
+        flows.run_available(part.writeStream.foreachBatch(logs.append_stream(table)), spark)
+    return _stored(spark, table)
+
+
+@query
+def append_after_prune(spark, sf_dir):
+    """Retention empties the table of all but its last day, then everything is appended again."""
+    table, log = scratch_path(spark, "pruned"), _log(spark, sf_dir)
+    logs.append_logs(log, table)
+    logs.prune_table(spark, table, _now(spark, sf_dir), 1)
+    logs.append_logs(log, table)
+    return _stored(spark, table)
+
+
+@query
+def compact_stored_table(spark, sf_dir):
+    table, log = scratch_path(spark, "compacted"), _log(spark, sf_dir)
+    for turn in range(3):
+        logs.append_logs(log.where(F.col("id") % 3 == turn), table)
+    logs.compact_days(spark, table, _now(spark, sf_dir).date())
+    return _stored(spark, table)
+
+
+def _stored(spark: SparkSession, table: str) -> DataFrame:
+    """The rows stored of each message, and how often one id occurs at most."""
+    rows = spark.read.schema(logs.TABLE_SCHEMA).parquet(table)
+    ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    counts = rows.groupBy("source", "level", "message").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.select("*", ids.scalar().alias("most_per_id"))
+
+
 @query
 def read_log_lines(spark, sf_dir):
     folder = scratch_path(spark, "lines")
@@ -626,6 +677,24 @@ def on_fire(spark, sf_dir):
     return spark.read.schema(fired.schema).parquet(kept).select("id", "event_id", "count")
 
 
+@query
+def ingest_with_feedback(spark, sf_dir):
+    """The whole way of an event: from the stream without repeats into the table, and its alerts into the same table."""
+    table = scratch_path(spark, "ingest")
+    fresh = folds.dedup_stream(_stream(spark, sf_dir), DAY_MS, WATERMARK)
+    flows.run_available(fresh.writeStream.foreachBatch(logs.append_stream(table)), spark)
+    stored = spark.readStream.schema(logs.TABLE_SCHEMA).parquet(table).select(*LOG_SCHEMA.names)
+    fired = folds.fire_alerts_stream(stored, _rules(spark), WATERMARK)
+    append = logs.append_stream(table)
+
+    def feed_back(df, batch):
+        append(alerts.alert_events(df), batch)
+
+    flows.run_available(flows.on_fire(fired, feed_back), spark)
+    rows = logs.read_log_table(spark, table)
+    return rows.select(F.unix_millis("ts").alias("ts_ms"), "source", "level", "message")
+
+
 # Diffs
 
 

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftlens.schema import RULE_SCHEMA
+from driftlens.sources.settings import DEFAULT_PRESETS
 
 RULES = [
     (0, "burst", "Created burst", "Created", "", "", 5, 3600, True),
@@ -16,11 +17,8 @@ RULES = [
     (4, "src", "entr only", "", "entr", "stdout", 3, 1800, False),
 ]
 
-PRESETS = {
-    "logs": {"id": "logs", "target": "/var/log", "enabled": {"fswatch": True, "logstream": True}},
-    "caches": {"id": "caches", "target": "/var/folders", "enabled": {"fswatch": True, "watchman": True}},
-    "temp": {"id": "temp", "target": "/var/tmp", "enabled": {"fswatch": True}},
-}
+# The default presets, but for the target of ``temp``, which has no rows here.
+PRESETS = {p["id"]: {**p, "target": "/var/tmp"} if p["id"] == "temp" else p for p in DEFAULT_PRESETS}
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +59,6 @@ def as_of(spark: SparkSession, sf_dir: str) -> datetime:
     return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=ms)
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULE_SCHEMA)
-
-
 def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "value")
 

@@ -148,16 +148,20 @@ def _top_paths(hours: int) -> str:
     )
 
 
-def _dedup(window_ms: int) -> str:
-    return _log(
-        f"SELECT le.{ROWS.replace(', ', ', le.')} FROM taken t JOIN firsts f USING (level, message, ts_ms) JOIN le ON le.id = f.id",
-        "firsts AS (SELECT level, message, ts_ms, min(id) AS id FROM le GROUP BY ALL)",
-        f"""taken(level, message, ts_ms) AS (
+def _taken(window_ms: int) -> str:
+    return f"""firsts AS (SELECT level, message, ts_ms, min(id) AS id FROM le GROUP BY ALL),
+taken(level, message, ts_ms) AS (
   SELECT level, message, min(ts_ms) FROM firsts GROUP BY ALL
   UNION ALL
   SELECT t.level, t.message, min(f.ts_ms) FROM taken t JOIN firsts f
-    ON f.level = t.level AND f.message = t.message AND f.ts_ms >= t.ts_ms + {window_ms} GROUP BY ALL)""",
-    )
+    ON f.level = t.level AND f.message = t.message AND f.ts_ms >= t.ts_ms + {window_ms} GROUP BY ALL)"""
+
+
+_KEPT = f"SELECT le.{ROWS.replace(', ', ', le.')} FROM taken t JOIN firsts f USING (level, message, ts_ms) JOIN le ON le.id = f.id"
+
+
+def _dedup(window_ms: int) -> str:
+    return _log(_KEPT, _taken(window_ms))
 
 
 # Longest common subsequence lengths, one old line per recursion step.
@@ -250,6 +254,9 @@ def _samples(step: int) -> str:
     return f"""SELECT ts_ms, events, max(events) OVER () AS max_events FROM (SELECT * FROM ({_rate(step)}) ORDER BY ts_ms DESC LIMIT 60)"""
 
 
+_STORED = "SELECT source, level, message, count(*) AS rows, CAST(1 AS BIGINT) AS most_per_id FROM {0} GROUP BY ALL"
+
+
 def _dashboard(hours: int, whole: bool = False) -> str:
     return _log(
         f"""SELECT 'total' AS part, CAST(0 AS INTEGER) AS pos, 'all' AS label, count(*) AS count FROM le, a WHERE {_since(hours)}
@@ -265,6 +272,10 @@ ORACLES: dict[str, str] = {
     "append_and_read_logs": _log(
         "SELECT row_number() OVER (ORDER BY ts_ms, id) AS id, ts_ms, source, level, message FROM le"
     ),
+    "append_two_writers": _log(_STORED.format("le")),
+    "append_after_restart": _log(_STORED.format("le")),
+    "compact_stored_table": _log(_STORED.format("le")),
+    "append_after_prune": _log(_STORED.format(f"(SELECT * FROM le UNION ALL SELECT le.* FROM le, a WHERE ts_ms >= now - {DAY_MS})")),
     "read_log_lines": _log("SELECT 'entr' AS source, 'stderr' AS level, message FROM le WHERE id % 7 <> 0"),
     "union_sources": _log("SELECT ts_ms, source, level, message FROM le"),
     "prune_deleted": _log(f"SELECT count(*) AS deleted FROM le, a WHERE ts_ms < now - 7 * {DAY_MS}"),
@@ -440,6 +451,13 @@ UNION ALL SELECT fired_ms, 'alert', 'warn', alert FROM fired""",
         FIRED,
     ),
     "dedup_stream": _dedup(DAY_MS),
+    "ingest_with_feedback": _log(
+        """SELECT ts_ms, source, level, message FROM kept
+UNION ALL SELECT fired_ms, 'alert', 'warn', alert FROM fired""",
+        _taken(DAY_MS),
+        f"kept AS ({_KEPT})",
+        FIRED.replace("FROM le JOIN rules", "FROM kept le JOIN rules"),
+    ),
     "fire_alerts_stream": _log(_FIRED_ROWS, FIRED),
     "rate_stream": _log(
         f"""SELECT ts_ms // {HOUR_MS} * {HOUR_MS} AS ts_ms, count(*) AS events FROM le, a

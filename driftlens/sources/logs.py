@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -12,15 +13,19 @@ from driftlens.operators.ordering import with_ordinal
 from driftlens.schema import EVENT_SCHEMA, LOG_SCHEMA, RETENTION_DAYS
 from driftlens.session import scratch_path
 
-# Layout: <table>/batch=<n>/dt=<UTC date>/. A batch is written whole and can be written again.
+# Layout: <table>/dt=<UTC date>/writer=<name>/batch=<n>/. A batch of a writer is written whole and can be written again.
+# <table>/_ids/ holds an empty file per batch whose name tells the ids given to it: <last>-<first>-<writer>-<batch>.
 TABLE_SCHEMA = T.StructType([
-    *LOG_SCHEMA.fields, T.StructField("batch", T.LongType()), T.StructField("dt", T.DateType())
+    *LOG_SCHEMA.fields, T.StructField("dt", T.DateType()), T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())
 ])
+PARTS = ["dt", "writer", "batch"]
+MANUAL = "manual"
+COMPACTED = "compacted"
 
 
 def read_log_table(spark: SparkSession, path: str) -> DataFrame:
     """The stored events, with ``dt`` for partition pruning."""
-    return spark.read.schema(TABLE_SCHEMA).parquet(path).drop("batch")
+    return spark.read.schema(TABLE_SCHEMA).parquet(path).drop("writer", "batch")
 
 
 def stamp_missing_ts(df: DataFrame) -> DataFrame:
@@ -85,42 +90,105 @@ def _value(folder: str, key: str) -> str:
     return folder.split(f"{key}=")[-1].split("/")[0]
 
 
-def append_logs(df: DataFrame, path: str, batch: int | None = None) -> int:
-    """Append events with ids rising from the highest stored one, in time order; returns the batch.
+def _given(spark: SparkSession, path: str) -> dict[tuple[str, int], tuple[int, int]]:
+    """(writer, batch) -> (first, last) of the ids given so far, from file names alone."""
+    given = {}
+    for name in _partitions(spark, f"{path}/_ids/*-*-*-*"):
+        last, first, writer, batch = name.rsplit("/", 1)[-1].split("-")
+        given[writer, int(batch)] = max(given.get((writer, int(batch)), (0, 0)), (int(first), int(last)))
+    return given
 
-    A batch number given again replaces that batch with the same ids, which makes a retried streaming
-    batch harmless. Ids come from a distributed row number over the sorted rows.
+
+def append_logs(df: DataFrame, path: str, batch: int | None = None, writer: str = MANUAL) -> int:
+    """Append events with ids above all that were ever given, rising in time order; returns the batch.
+
+    A batch belongs to its writer: only the same writer giving the same number again replaces it, with the same ids, which
+    makes a retried streaming batch harmless and leaves what others wrote alone. Without a number a batch gets the
+    writer's next one. Ids are noted down before the rows are written, so neither retention nor a failed write makes
+    them come twice. Appends to one table come one after the other.
     """
+    if not re.fullmatch("[A-Za-z0-9_]+", writer) or writer == COMPACTED:
+        raise ValueError(f"not a writer's name: {writer}")
     spark = df.sparkSession
-    batches = sorted(int(_value(folder, "batch")) for folder in _partitions(spark, f"{path}/batch=*"))
+    given = _given(spark, path)
     if batch is None:
-        batch = batches[-1] + 1 if batches else 0
-    earlier = [number for number in batches if number < batch]
-    highest = 0
-    if earlier:
-        # Ids rise from batch to batch, so the latest one before this has the highest.
-        last = spark.read.schema(LOG_SCHEMA).parquet(f"{path}/batch={earlier[-1]}")
-        highest = last.agg(F.max("id").alias("id")).first().id or 0
+        batch = max((number for name, number in given if name == writer), default=-1) + 1
     rows = stamp_missing_ts(df).select(*EVENT_SCHEMA.names)
     rows = rows.withColumn("ts", F.timestamp_millis(F.unix_millis("ts")))
     # Arrival order decides between equal times, and keeps copies of one event from piling up in a task.
     rows = rows.withColumn("_arrival", F.monotonically_increasing_id())
     numbered = with_ordinal(rows, [], [F.col("ts"), F.col("_arrival")], "_nth")
-    (
-        numbered.select((F.col("_nth") + highest + 1).alias("id"), *EVENT_SCHEMA.names, times.utc_date(F.col("ts")).alias("dt"))
-        .write.mode("overwrite").partitionBy("dt").parquet(f"{path}/batch={batch}")
+    count = numbered.count()
+    path_of, fs = _files(spark)
+    if (writer, batch) in given:
+        first, last = given[writer, batch]
+        # A retry may bring other days than the attempt before.
+        for folder in _partitions(spark, f"{path}/dt=*/writer={writer}/batch={batch}"):
+            fs(folder).delete(path_of(folder), True)
+    if (writer, batch) not in given or last - first + 1 < count:
+        first = max((last for _, last in given.values()), default=0) + 1
+        mark = f"{path}/_ids/{first + count - 1}-{first}-{writer}-{batch}"
+        fs(mark).create(path_of(mark), True).close()
+    placed = numbered.select(
+        (F.col("_nth") + first).alias("id"), *EVENT_SCHEMA.names, times.utc_date(F.col("ts")).alias("dt"),
+        F.lit(writer).alias("writer"), F.lit(batch).cast("bigint").alias("batch"),
     )
+    _replace_parts(placed, path)
     return batch
 
 
-def append_stream(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` handler that appends each micro-batch once."""
+def _replace_parts(rows: DataFrame, path: str) -> None:
+    """Write exactly the partitions that occur in ``rows``."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+
+
+def append_stream(path: str, writer: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` handler that appends each micro-batch once.
+
+    The writer is by default the streaming query itself: its identity is kept in its checkpoint, so a restarted query goes
+    on as the same writer and one with a new checkpoint is another writer.
+    """
     def handle(df: DataFrame, batch_id: int) -> None:
-        append_logs(df, path, batch_id)
+        query = writer or df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("name the writer: the query's identity is not known here")
+        append_logs(df, path, batch_id, query.replace("-", "_"))
 
     return handle
 
 
+def compact_days(spark: SparkSession, path: str, before: date) -> int:
+    """Merge the batches of each day before ``before`` into one; returns the number of days merged.
+
+    For days that no writer adds to any more. A day is first written in full beside its batches and then these are
+    removed; run again after a failure in between, it drops the rows that are there twice. Marks of ids are kept for
+    the last batch of each writer only.
+    """
+    path_of, fs = _files(spark)
+    days: dict[str, list[str]] = {}
+    for folder in _partitions(spark, f"{path}/dt=*/writer=*/batch=*"):
+        days.setdefault(_value(folder, "dt"), []).append(folder)
+    closed = {day: parts for day, parts in days.items() if day < before.isoformat() and len(parts) > 1}
+    if closed:
+        staged = scratch_path(spark, "compact")
+        parts = [p for parts in closed.values() for p in parts]
+        whole = spark.read.schema(TABLE_SCHEMA).option("basePath", path).parquet(*parts).dropDuplicates(["dt", "id"])
+        whole.withColumns({"writer": F.lit(COMPACTED), "batch": F.lit(0).cast("bigint")}).repartition("dt").write.partitionBy(*PARTS).parquet(staged)
+        _replace_parts(spark.read.schema(TABLE_SCHEMA).parquet(staged), path)
+        for folder in parts:
+            if (_value(folder, "writer"), _value(folder, "batch")) != (COMPACTED, "0"):
+                fs(folder).delete(path_of(folder), True)
+        fs(staged).delete(path_of(staged), True)
+    given = _given(spark, path)
+    newest = {name: max(number for other, number in given if other == name) for name, _ in given}
+    top = max((last for _, last in given.values()), default=0)
+    for (name, number), (first, last) in given.items():
+        if number < newest[name] and last < top:
+            mark = f"{path}/_ids/{last}-{first}-{name}-{number}"
+            fs(mark).delete(path_of(mark), False)
+    return len(closed)
+
+
 def cutoff(as_of: datetime, retention_days: int = RETENTION_DAYS) -> datetime:
     return as_of - timedelta(days=retention_days if retention_days > 0 else RETENTION_DAYS)
 
@@ -140,9 +208,8 @@ def prune_table(spark: SparkSession, path: str, as_of: datetime, retention_days:
     moment = times.to_ms(cutoff(as_of, retention_days))
     day = _day(moment)
     path_of, fs = _files(spark)
-    folders = _partitions(spark, f"{path}/batch=*/dt=*")
-    gone = [f for f in folders if _value(f, "dt") < day]
-    edge = [f for f in folders if _value(f, "dt") == day]
+    gone = [f for f in _partitions(spark, f"{path}/dt=*") if _value(f, "dt") < day]
+    edge = _partitions(spark, f"{path}/dt={day}/writer=*/batch=*")
     reader = spark.read.schema(TABLE_SCHEMA).option("basePath", path)
     # Row counts of whole files come from their footers.
     deleted = reader.parquet(*gone).count() if gone else 0
@@ -152,13 +219,12 @@ def prune_table(spark: SparkSession, path: str, as_of: datetime, retention_days:
         if dropped:
             deleted += dropped
             staged = scratch_path(spark, "prune")
-            kept.write.partitionBy("batch", "dt").parquet(staged)
-            left = {_value(folder, "batch") for folder in _partitions(spark, f"{staged}/batch=*")}
+            kept.write.partitionBy(*PARTS).parquet(staged)
+            left = {folder.split("/dt=")[-1] for folder in _partitions(spark, f"{staged}/dt=*/writer=*/batch=*")}
             if left:
-                # Replaces exactly the partitions it writes.
-                rewritten = spark.read.schema(TABLE_SCHEMA).parquet(staged).write.mode("overwrite")
-                rewritten.option("partitionOverwriteMode", "dynamic").partitionBy("batch", "dt").parquet(path)
-            gone += [folder for folder in edge if _value(folder, "batch") not in left]
+                _replace_parts(spark.read.schema(TABLE_SCHEMA).parquet(staged), path)
+            gone += [folder for folder in edge if folder.split("/dt=")[-1] not in left]
+            fs(staged).delete(path_of(staged), True)
     for folder in gone:
         fs(folder).delete(path_of(folder), True)
     return deleted

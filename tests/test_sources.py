@@ -28,6 +28,56 @@ def test_append_gives_rising_dense_ids_and_retries_are_harmless(spark, log_of, t
     assert sorted((r.id, r.message) for r in logs.read_log_table(spark, table).collect()) == before
 
 
+def stored(spark, table):
+    return sorted((r.id, r.message) for r in logs.read_log_table(spark, table).collect())
+
+
+def test_writers_leave_each_other_alone(spark, log_of, tmp_path):
+    table, make = str(tmp_path / "t"), lambda tag: log_of([(i, i, "s", "l", f"{tag}{i}") for i in range(5)])
+    logs.append_logs(make("a"), table, 0, "stream")
+    logs.append_logs(make("b"), table)
+    logs.append_logs(make("c"), table, 1, "stream")
+    logs.append_logs(make("d"), table, 0, "other_stream")
+    before = stored(spark, table)
+    assert [i for i, _ in before] == list(range(1, 21)) and {m[0] for _, m in before} == set("abcd")
+    logs.append_logs(make("c"), table, 1, "stream")
+    assert stored(spark, table) == before
+    with pytest.raises(ValueError, match="name"):
+        logs.append_logs(make("e"), table, 0, "no/name")
+
+
+def test_a_retry_with_other_days_and_more_rows_leaves_nothing_behind(spark, log_of, tmp_path):
+    table = str(tmp_path / "t")
+    logs.append_logs(log_of([(1, 0, "s", "l", "x")]), table, 0, "w")
+    logs.append_logs(log_of([(1, 0, "s", "l", "y")]), table, 1, "w")
+    logs.append_logs(log_of([(1, 3 * DAY, "s", "l", "x"), (2, 3 * DAY, "s", "l", "z")]), table, 0, "w")
+    assert stored(spark, table) == [(2, "y"), (3, "x"), (4, "z")]
+
+
+def test_ids_never_come_twice_after_retention(spark, log_of, at, tmp_path):
+    table = str(tmp_path / "t")
+    logs.append_logs(log_of([(1, 10 * DAY, "s", "l", "new")]), table)
+    logs.append_logs(log_of([(1, 0, "s", "l", "old"), (2, 1, "s", "l", "old")]), table)
+    assert logs.prune_table(spark, table, at(10 * DAY), 5) == 2
+    logs.append_logs(log_of([(1, 11 * DAY, "s", "l", "newer")]), table)
+    assert stored(spark, table) == [(1, "new"), (4, "newer")]
+
+
+def test_compaction_keeps_rows_and_can_be_repeated(spark, log_of, at, tmp_path):
+    table = str(tmp_path / "t")
+    for turn in range(3):
+        logs.append_logs(log_of([(i, i * DAY + turn, "s", "l", f"{turn}/{i}") for i in range(3)]), table)
+    before = stored(spark, table)
+    spare = spark.read.schema(logs.TABLE_SCHEMA).parquet(table).where("batch = 1").withColumn("writer", F.lit("compacted"))
+    logs._replace_parts(spare, table)  # what a failure between the two steps leaves
+    assert logs.compact_days(spark, table, at(2 * DAY).date()) == 2
+    assert logs.compact_days(spark, table, at(2 * DAY).date()) == 0
+    assert [r for r in stored(spark, table) if not r[1].endswith("/2")] == [r for r in before if not r[1].endswith("/2")]
+    assert len(glob.glob(f"{table}/dt=*/writer=*/batch=*")) == 2 + 4
+    logs.append_logs(log_of([(1, 5 * DAY, "s", "l", "next")]), table)
+    assert max(stored(spark, table)) == (10, "next")
+
+
 def test_copies_of_one_event_get_their_own_ids(spark, log_of, tmp_path):
     table = str(tmp_path / "t")
     copies = spark.range(0, 5000, 1, 8).crossJoin(log_of([(1, 0, "s", "l", "m")]).drop("id")).drop("id")
@@ -130,6 +180,7 @@ def test_snapshots_from_files(spark, tmp_path):
 
     found = snapshots.read_snapshots(spark, str(tmp_path), files=True)
     assert {r.size for r in found.collect()} == {6, (1 << 20) + 1}
-    fine = eligible_snapshots(found)
+    assert eligible_snapshots(found).count() == 2
+    fine = eligible_snapshots(found, 1 << 20)
     assert [bytes(r.content) for r in fine.collect()] == [b"hello\n"]
     assert "LessThanOrEqual(len" in fine._jdf.queryExecution().executedPlan().toString()
