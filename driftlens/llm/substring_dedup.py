@@ -85,7 +85,7 @@ def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def contexts(held: DataFrame, length: int, gram: int, with_bytes: bool) -> DataFrame:
-    """The surroundings of anchors, from rows (key, body, spots: array<struct<pos, h, hot>>).
+    """The surroundings of anchors, from rows (id, key, body, spots: array<struct<pos, h, hot>>).
 
     With bytes: (h, hot, c, left, right, n), equal ones of a batch counted together. ``right`` starts at the anchor, ``left``
     runs backwards from it, and together they hold every string of ``length`` bytes around the anchor. ``c`` is a hash of
@@ -246,12 +246,12 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chu
     """
     body = whole(F.col(text))
     texts = docs.select(F.col(ident).alias("id"), F.encode(body, "UTF-8").alias("body")).select("id", F.xxhash64("id", "body").alias("key"), "body")
-    bodies = texts.select("key", "body")
-    spots = cut_lineage(find_anchors(bodies.where(F.length("body") >= length), length, gram))
+    spots = cut_lineage(find_anchors(texts.select("key", "body").where(F.length("body") >= length), length, gram))
     often = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("h", (F.col("n") > hot).alias("hot"))
     some_hot = not often.where("hot").isEmpty()
     places = spots.join(often, "h").groupBy("key").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("spots"))
-    held = bodies.join(places, "key")
+    # All columns of ``texts`` are kept here: then the cut at the end reads the same shuffled texts again.
+    held = texts.join(places, "key").select(*texts.columns, "spots")
     around = contexts(held, length, gram, True).repartition("h")
     merged = around.groupBy("h", "hot", "c", "left", "right").agg(F.sum("n").alias("n"))
     spans = sorted_groups(merged.where("NOT hot").sortWithinPartitions("h"), length, gram, chunk)
