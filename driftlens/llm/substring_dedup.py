@@ -11,26 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftlens.llm.common import table, whole
 from driftlens.llm.suffix_sort import deep_shallow, neighbours
-from driftlens.llm.texthash import BYTE, U, mix, powers
+from driftlens.llm.texthash import U, inverse_powers, mix, prefix_sums
 from driftlens.session import cut_lineage
 
 LENGTH = 400
 GRAM = 64              # bytes of an anchor
 CHUNK = 20_000         # contexts that are sorted together
-HOT = 20_000           # places of an anchor above which its contexts are compared by key, not sorted together
-INVERSE = U(pow(int(0x9E3779B97F4A7C15), -1, 1 << 64))
-_INVERSES = np.ones(1, U)
-
-
-def inverse_powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of the inverse of the hash's base."""
-    global _INVERSES
-    if len(_INVERSES) < n:
-        grown = np.full(max(n, 2 * len(_INVERSES)), INVERSE, U)
-        grown[0] = U(1)
-        with np.errstate(over="ignore"):
-            _INVERSES = np.multiply.accumulate(grown)
-    return _INVERSES[:n]
+HOT = 100_000          # places of an anchor above which its contexts are compared by key, not sorted together
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -54,7 +41,7 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     if n < length:
         return np.empty(0, np.int64), np.empty(0, U)
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, U), np.cumsum(BYTE[data] * powers(n))))
+        sums = prefix_sums(data)
         hashes = mix((sums[gram:] - sums[:-gram]) * inverse_powers(n)[:n - gram + 1])
     w = length - gram + 1
     lows = sliding_min(hashes, w)
@@ -197,7 +184,8 @@ def keyed_groups(found: DataFrame, length: int, gram: int) -> DataFrame:
                 made.append(runs_of(held, length))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(made, pa.list_(pa.int64()))], ["h", "c", "spans"])
 
-    each = found.mapInArrow(keys, "h bigint, c bigint, m bigint, string binary, n bigint")
+    # Counted and met again in one shuffle.
+    each = found.mapInArrow(keys, "h bigint, c bigint, m bigint, string binary, n bigint").repartition("m", "string")
     often = each.groupBy("m", "string").agg(F.sum("n").alias("n")).where("n >= 2").select("m", "string")
     shifts = each.join(often, ["m", "string"]).groupBy("h", "c").agg(F.collect_set("m").alias("shifts"))
     return shifts.mapInArrow(spans, "h bigint, c bigint, spans array<bigint>")

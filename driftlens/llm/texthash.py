@@ -7,6 +7,7 @@ import numpy as np
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, U)
+_INVERSES = np.ones(1, U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,25 +22,47 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(256, dtype=U))
 
 
+def _grown(table: np.ndarray, factor: np.uint64, n: int) -> np.ndarray:
+    grown = np.full(max(n, 2 * len(table)), factor, U)
+    grown[0] = U(1)
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(grown)
+
+
 def powers(n: int) -> np.ndarray:
     """The first ``n`` powers of an odd base, modulo 2^64."""
     global _POWERS
     if len(_POWERS) < n:
-        grown = np.full(max(n, 2 * len(_POWERS)), _ODD, U)
-        grown[0] = U(1)
-        with np.errstate(over="ignore"):
-            _POWERS = np.multiply.accumulate(grown)
+        _POWERS = _grown(_POWERS, _ODD, n)
     return _POWERS[:n]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the inverse of that base."""
+    global _INVERSES
+    if len(_INVERSES) < n:
+        _INVERSES = _grown(_INVERSES, U(pow(int(_ODD), -1, 1 << 64)), n)
+    return _INVERSES[:n]
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any stretch follows: the difference of two, times the inverse power of its start."""
+    out = np.zeros(len(data) + 1, U)
+    with np.errstate(over="ignore"):
+        np.cumsum(BYTE[data] * powers(len(data)), out=out[1:])
+    return out
+
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the words between white space."""
-    edge = np.diff(np.concatenate(([True], IS_SPACE[data], [True])).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = IS_SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
@@ -47,14 +70,9 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     starts, ends = word_bounds(data)
     if not len(starts):
         return np.empty(0, U)
-    lengths = ends - starts
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    offset = np.arange(total) - np.repeat(first, lengths)
-    letters = data[offset + np.repeat(starts, lengths)]
+    sums = prefix_sums(data)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(BYTE[letters] * powers(int(lengths.max()))[offset], first)
-        return mix(sums + lengths.astype(U))
+        return mix((sums[ends] - sums[starts]) * inverse_powers(len(data))[starts] + (ends - starts).astype(U))
 
 
 def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
