@@ -32,54 +32,55 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n - w + 1], ahead[w - 1:n])
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors: in each string of ``length`` bytes, the grams with the smallest hash.
+def anchors(data: np.ndarray, length: int, gram: int, piece: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, least, most): each string of ``length`` bytes has one anchor, its first gram of the smallest hash.
 
-    Which grams of a string are anchors depends on its bytes alone, so equal strings have equal anchors at equal places.
+    An anchor serves the strings that start ``least`` to ``most`` bytes before it. Which gram of a string is its anchor
+    depends on its bytes alone, so equal strings have it at the same place. Texts are gone through in pieces.
     """
-    n = len(data)
-    if n < length:
-        return np.empty(0, np.int64), np.empty(0, U)
-    with np.errstate(over="ignore"):
-        sums = prefix_sums(data)
-        hashes = mix((sums[gram:] - sums[:-gram]) * inverse_powers(n)[:n - gram + 1])
+    found = []
     w = length - gram + 1
-    lows = sliding_min(hashes, w)
-    # A gram is an anchor if it equals the minimum of some string around it: the largest of those minima.
-    edge = np.zeros(w - 1, U)
-    reach = ~sliding_min(~np.concatenate((edge, lows, edge)), w)
-    places = np.flatnonzero(reach == hashes)
-    return places, hashes[places]
+    for base in range(0, len(data) - length + 1, piece):
+        part = data[base:base + piece + length - 1]
+        sums = prefix_sums(part)
+        with np.errstate(over="ignore"):
+            hashes = mix((sums[gram:] - sums[:-gram]) * inverse_powers(len(part))[:len(part) - gram + 1])
+        # The low bits hold the place, so the smallest number is the first of the smallest hashes.
+        low = U((1 << 24) - 1)
+        at = (sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=U), w) & low).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        last = np.append(first[1:], len(at)) - 1
+        places = at[first]
+        found.append((places + base, hashes[places], places - last, places - first))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, pos, h): the anchors of every text."""
+    """(key, pos, h, least, most): the anchors of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                keys, places, hashes = [], [], []
+                keys, found = [], []
                 for key, body in zip(part.column("key").to_pylist(), part.column("body"), strict=True):
-                    at, h = anchors(np.frombuffer(body.as_buffer(), np.uint8), length, gram)
-                    keys.append(np.full(len(at), key, np.int64))
-                    places.append(at)
-                    hashes.append(h)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(places).astype(np.int64)), pa.array(np.concatenate(hashes).view(np.int64))],
-                    ["key", "pos", "h"])
+                    found.append(anchors(np.frombuffer(body.as_buffer(), np.uint8), length, gram))
+                    keys.append(np.full(len(found[-1][0]), key, np.int64))
+                places, hashes, least, most = (np.concatenate(c) for c in zip(*found, strict=True))
+                columns = [np.concatenate(keys), places, hashes.view(np.int64), least.astype(np.int32), most.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "pos", "h", "least", "most"])
 
-    return texts.mapInArrow(run, "key bigint, pos bigint, h bigint")
+    return texts.mapInArrow(run, "key bigint, pos bigint, h bigint, least int, most int")
 
 
-def contexts(held: DataFrame, length: int, gram: int, with_bytes: bool) -> DataFrame:
-    """The surroundings of anchors, from rows (id, key, body, spots: array<struct<pos, h, hot>>).
+def contexts(held: DataFrame, length: int, with_bytes: bool) -> DataFrame:
+    """The surroundings of anchors, from rows (id, key, body, spots: array<struct<pos, h, hot, least, most>>).
 
     With bytes: (h, hot, c, left, right, n), equal ones of a batch counted together. ``right`` starts at the anchor, ``left``
-    runs backwards from it, and together they hold every string of ``length`` bytes around the anchor. ``c`` is a hash of
-    both. Without: (key, pos, h, c).
+    runs backwards from it, and together they hold just the strings that the anchor serves. ``c`` is a hash of both.
+    Without: (key, pos, h, c).
     """
-    reach = length - gram
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple, int] = {}
@@ -88,7 +89,7 @@ def contexts(held: DataFrame, length: int, gram: int, with_bytes: bool) -> DataF
                 body = body.as_py()
                 for spot in spots:
                     pos = spot["pos"]
-                    left, right = body[max(0, pos - reach):pos][::-1], body[pos:pos + length]
+                    left, right = body[pos - spot["most"]:pos][::-1], body[pos:pos + length - spot["least"]]
                     digest = hashlib.blake2b(left + b"|" + right, digest_size=8, salt=len(left).to_bytes(4)).digest()
                     c = int.from_bytes(digest, signed=True)
                     if with_bytes:
@@ -237,17 +238,17 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chu
     spots = cut_lineage(find_anchors(texts.select("key", "body").where(F.length("body") >= length), length, gram))
     often = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("h", (F.col("n") > hot).alias("hot"))
     some_hot = not often.where("hot").isEmpty()
-    places = spots.join(often, "h").groupBy("key").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("spots"))
+    places = spots.join(often, "h").groupBy("key").agg(F.collect_set(F.struct("pos", "h", "hot", "least", "most")).alias("spots"))
     # All columns of ``texts`` are kept here: then the cut at the end reads the same shuffled texts again.
     held = texts.join(places, "key").select(*texts.columns, "spots")
-    around = contexts(held, length, gram, True).repartition("h")
+    around = contexts(held, length, True).repartition("h")
     merged = around.groupBy("h", "hot", "c", "left", "right").agg(F.sum("n").alias("n"))
     spans = sorted_groups(merged.where("NOT hot").sortWithinPartitions("h"), length, gram, chunk)
     if some_hot:
-        spread = contexts(held, length, gram, True).where("hot").groupBy("h", "c", "left", "right").agg(F.sum("n").alias("n"))
+        spread = contexts(held, length, True).where("hot").groupBy("h", "c", "left", "right").agg(F.sum("n").alias("n"))
         spans = spans.unionByName(keyed_groups(spread, length, gram))
     spans = spans.where(F.size("spans") > 0)
-    at = contexts(held, length, gram, False).join(spans, ["h", "c"])
+    at = contexts(held, length, False).join(spans, ["h", "c"])
     pairs = F.transform(F.sequence(F.lit(1), F.size("spans"), F.lit(2)), lambda i: F.struct(
         (F.col("pos") + F.get("spans", (i - 1).cast("int"))).alias("lo"), (F.col("pos") + F.get("spans", i.cast("int"))).alias("hi")))
     cuts = at.select("key", F.explode(pairs).alias("span")).groupBy("key").agg(F.collect_set("span").alias("spans"))
