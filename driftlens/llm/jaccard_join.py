@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +25,22 @@ class Signatures:
 
     Sizes fall into levels, each reaching up to the largest partner of the level before. Linked sets differ in at most
     ``k`` elements, a bound that follows from their sizes. Elements are dealt over k + 1 + spare parts by hash; at most k
-    parts can differ, so at least 1 + spare parts agree. A part that is empty says nothing, so it gives no signature
-    unless a set has more than ``spare`` empty parts; then it gives its empty ones too. Sets link within a level or
-    across neighbours, hence each set signs for its own level and the next.
+    parts can differ, so at least 1 + spare parts agree. An empty part says nothing and gives no signature, unless a set
+    has more than ``spare`` empty parts; then it gives its empty ones too. Sets link within a level or across neighbours,
+    hence each set signs for its own level and the next.
+
+    ``common`` lists shingles that many texts share, in any number; a small part may hold nothing else, and would chain
+    texts that have only a line in common. They are left out first, which changes no bound: without them sets differ
+    in at most as many elements. A set that then has too many empty parts signs a second time with all its elements;
+    of two linked sets either one has few empty parts and a part of rare shingles agrees, or both sign the second time.
     """
 
-    def __init__(self, percent: int) -> None:
+    def __init__(self, percent: int, seed: int = 0, common: np.ndarray | None = None) -> None:
         self.percent = percent
         self.starts = [1]
+        self.known: dict[int, tuple[int, int]] = {}
+        self.seed = mix(np.array([seed], U))[0]
+        self.common = np.empty(0, U) if common is None else np.sort(common)
 
     def level(self, n: int) -> int:
         while self.starts[-1] <= n:
@@ -40,37 +49,78 @@ class Signatures:
 
     def parts(self, level: int) -> tuple[int, int]:
         """(parts, spare) of a level."""
+        if level in self.known:
+            return self.known[level]
         while len(self.starts) < level + 2:
             self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         largest = self.starts[level + 1] - 1
         k = 2 * largest * (100 - self.percent) // (100 + self.percent)
-        spare = 1 + k // 25 if k else 0
-        return k + 1 + spare, spare
+        # As many spare parts as the smallest sets of the level will hardly ever have empty ones.
+        spare, smallest = 0, self.starts[max(0, level - 1)]
+        while k and spare < k:
+            empty = (k + 1 + spare) * math.exp(-smallest / (k + 1 + spare))
+            if spare >= empty + 3 * math.sqrt(empty):
+                break
+            spare += 1 + k // 50
+        self.known[level] = (k + 1 + spare, spare)
+        return self.known[level]
+
+    def deal(self, hashed: np.ndarray, level: int, turn: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """(signatures of the parts that hold something, signatures of the empty ones if those are too many)."""
+        parts, spare = self.parts(level)
+        tag = (U(level) << U(40)) + (U(turn) << U(38))
+        part = (hashed * U(2 * level + 0x9E3779B97F4A7C15) >> U(33)) % U(parts)
+        order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
+        dealt = part[order]
+        first = np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1]))) if len(dealt) else np.empty(0, np.int64)
+        held = dealt[first]
+        signed = mix(np.add.reduceat(hashed[order], first) ^ mix(tag + held)) if len(first) else np.empty(0, U)
+        if parts - len(held) <= spare:
+            return signed, None
+        empty = np.setdiff1d(np.arange(parts, dtype=U), held)
+        return signed, mix(tag + empty + (U(1) << U(39)))
 
     def of(self, items: np.ndarray) -> np.ndarray:
         if not len(items):
             return np.empty(0, np.int64)
+        rare = items
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, items), len(self.common) - 1)
+            rare = items[self.common[at] != items]
         made = []
         own = self.level(len(items))
-        for level in (own, own + 1):
-            parts, spare = self.parts(level)
-            with np.errstate(over="ignore"):
-                part = (mix(items ^ U(0x5BD1E995 + level)) % U(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                held, first = np.unique(part[order], return_index=True)
-                sums = np.add.reduceat(mix(items[order]), first)
-                tag = mix((U(level) << U(40)) + held.astype(U))
-                made.append(mix(sums ^ tag))
-                if parts - len(held) > spare:
-                    empty = np.setdiff1d(np.arange(parts), held).astype(U)
-                    made.append(mix((U(level) << U(40)) + empty + (U(1) << U(39))))
+        with np.errstate(over="ignore"):
+            for level in (own, own + 1):
+                signed, empty = self.deal(mix(rare ^ self.seed), level, 0)
+                made.append(signed)
+                if empty is not None:
+                    signed, empty = self.deal(mix(items ^ self.seed), level, 1)
+                    made += [signed] if empty is None else [signed, empty]
         return np.concatenate(made).view(np.int64)
 
 
-def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def common_shingles(docs: DataFrame, words: int, sample_docs: int = 8000, least: int = 3, most: int = 100_000) -> np.ndarray:
+    """Shingles found in ``least`` or more of about ``sample_docs`` documents, the ``most`` frequent ones.
+
+    They only decide how texts sign, never which texts link, so a bounded sample and a bounded list will do.
+    """
+    n = docs.count()
+    share = int(1e6 * min(1.0, sample_docs / max(1, n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["g"])
+
+    sample = docs.where(F.pmod("key", F.lit(1_000_000)) < share).select("text").mapInArrow(run, "g bigint")
+    often = sample.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return np.array([r.g for r in often.orderBy(F.desc("n"), "g").limit(most).collect()], np.int64).view(U)
+
+
+def sketches(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
     """Per row of (id, key, row, text): set size, a hash of the set and its signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = Signatures(percent)
+        sign = Signatures(percent, common=common)
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
@@ -141,13 +191,15 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: in
     1. One pass gives every set's size, hash and signatures (written down once).
     2. Rows that share a signature are joined to the smallest row with it; components of that are blocks, outside of
        which no links exist. Equal sets of a block are one member.
-    3. Members fetch their sets. A block is one sparse product; a block of more than ``tile`` members is cut into tiles,
+    3. Members fetch their sets. Large blocks are cut again by other signatures. A block is one sparse product; a block of more than ``tile`` members is cut into tiles,
        and each pair of tiles is one product, so the rows in a task are bounded. Products return only links that join
        components: at most one per member and tile pair.
     """
     body = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     keyed = body.withColumn("key", F.xxhash64("id", "text"))
-    facts = cut_lineage(sketches(keyed.withColumn("row", F.monotonically_increasing_id()).select("id", "key", "row", "text"), words, percent))
+    common = common_shingles(keyed, words)
+    rows = keyed.withColumn("row", F.monotonically_increasing_id()).select("id", "key", "row", "text")
+    facts = cut_lineage(sketches(rows, words, percent, common))
     signed = facts.select("row", F.explode("sigs").alias("sig")).repartition("sig")
     hubs = signed.groupBy("sig").agg(F.min("row").alias("hub"), F.max("row").alias("last")).where("hub < last").select("sig", "hub")
     edges = signed.join(hubs, "sig").where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
@@ -160,10 +212,12 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: in
         "block", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
     wanted = members.join(tiles, "block")
     sets = cut_lineage(fetch_sets(keyed.select("key", "text"), wanted, words))
+    sets = refined(sets, percent, tile)
     own = F.pmod(F.xxhash64("member"), F.col("tiles")).cast("int")
     pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "block", "member", "n", "items", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = pairs.groupBy("block", "i", "j").applyInPandas(lambda rows: tile_product(rows, percent), "a bigint, b bigint")
+        "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "member", "n", "items")
+    group = ["block", "i", "j"]
+    links = tile_products(pairs.repartition(*group).sortWithinPartitions(*group), percent)
     joined = components(links)
     placed = inside.join(members.select("block", "n", "set_hash", "member"), ["block", "n", "set_hash"])
     placed = placed.join(joined.withColumnRenamed("node", "member"), "member", "left").select(
@@ -187,14 +241,64 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return made.dropDuplicates(["member"])
 
 
-def tile_product(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The links of one pair of tiles."""
-    rows = rows.sort_values(["n", "member"]).reset_index(drop=True)
-    sets = [np.frombuffer(b, U) for b in rows["items"]]
-    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    own, member = rows["own"].to_numpy(), rows["member"].to_numpy()
-    links = product_links(rows["n"].to_numpy(), sets, own == i, own == j, percent)
-    return pd.DataFrame({"a": [member[a] for a, _ in links], "b": [member[b] for _, b in links]}, dtype="int64")
+def refined(sets: DataFrame, percent: int, tile: int, rounds: int = 2) -> DataFrame:
+    """Blocks of more than one tile cut further: their members sign again with another seed, within their block.
+
+    Blocks grow large when texts that do not link are chained by signatures they share by chance. Linked members share a
+    signature under every seed, so no link is lost, while few chance chains come about twice.
+    """
+    for seed in range(1, rounds + 1):
+        large = sets.where("tiles > 1")
+        if large.isEmpty():
+            break
+        signed = sign_again(large.select("block", "member", "items"), percent, seed).select("block", "member", F.explode("sigs").alias("sig"))
+        signed = signed.repartition("block", "sig")
+        hubs = signed.groupBy("block", "sig").agg(F.min("member").alias("hub"), F.max("member").alias("last")).where("hub < last")
+        edges = signed.join(hubs.select("block", "sig", "hub"), ["block", "sig"]).where("member <> hub")
+        parts = components(edges.select(F.col("member").alias("a"), F.col("hub").alias("b")).distinct())
+        parts = parts.select(F.col("node").alias("member"), F.col("component").alias("block"))
+        tiles = parts.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+        cut = large.drop("block", "tiles").join(parts, "member").join(tiles, "block")
+        sets = cut_lineage(sets.where("tiles = 1").unionByName(cut.select(*sets.columns)))
+    return sets
+
+
+def sign_again(members: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(block, member, sigs) from (block, member, items)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signatures(percent, seed)
+        for batch in batches:
+            sigs = [sign.of(np.frombuffer(items.as_buffer(), U)) for items in batch.column("items")]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("member"), pa.array(sigs, pa.list_(pa.int64()))], ["block", "member", "sigs"])
+
+    return members.mapInArrow(run, "block bigint, member bigint, sigs array<bigint>")
+
+
+def tile_products(pairs: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) of all tile pairs; rows come sorted by (block, i, j), and one tile pair is held at a time."""
+    def links_of(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows.sort(key=lambda r: (r[5], r[4]))
+        i, j = rows[0][1:3]
+        own, member, sizes = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
+        found = product_links(sizes, [np.frombuffer(r[6], U) for r in rows], own == i, own == j, percent)
+        return [(int(member[a]), int(member[b])) for a, b in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        made: list[tuple[int, int]] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and row[:3] != held[0][:3]:
+                    made += links_of(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+            made = []
+        if held:
+            made = links_of(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", ident: str = "doc_id", **options) -> DataFrame:

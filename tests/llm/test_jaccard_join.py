@@ -55,15 +55,18 @@ def test_one_of_each_stays(docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
-def test_linked_sets_share_a_signature():
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("shared", [0, 1, 30])
+def test_linked_sets_share_a_signature(shared):
+    rng = np.random.default_rng(shared)
+    draw = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    common = draw(60)
     for percent in (80, 85):
-        sign = Signatures(percent)
+        sign = Signatures(percent, seed=shared, common=common)
         for _ in range(1500):
             n = int(rng.integers(1, 120))
-            a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            a = np.concatenate((draw(n), rng.choice(common, int(rng.integers(0, 1 + shared)))))
             drop, add = int(rng.integers(0, 1 + n // 5)), int(rng.integers(0, 1 + n // 5))
-            b = np.unique(np.concatenate((a[drop:], rng.integers(0, 1 << 62, add).astype(np.uint64))))
+            b = np.unique(np.concatenate((a[drop:], draw(add), rng.choice(common, int(rng.integers(0, 1 + shared // 10))))))
             a = np.unique(a)
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
