@@ -17,6 +17,7 @@ from driftlens.session import cut_lineage
 WORDS = 4
 PERCENT = 85
 TILE = 1500            # rows on either side of one product
+FEW = 500_000          # narrow rows that may be broadcast
 CELLS = 2_000_000      # incidences that a product multiplies at a time
 
 
@@ -210,7 +211,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: in
     members = members.select("block", "n", "set_hash", F.col("m.row").alias("member"), F.col("m.key").alias("key"))
     tiles = members.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(
         "block", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
-    wanted = members.join(tiles, "block")
+    wanted = cut_lineage(members.join(tiles, "block"))
     sets = cut_lineage(fetch_sets(keyed.select("key", "text"), wanted, words))
     sets = refined(sets, percent, tile)
     own = F.pmod(F.xxhash64("member"), F.col("tiles")).cast("int")
@@ -236,7 +237,9 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             out = rows[["block", "member", "n", "tiles"]].assign(items=[s.tobytes() for s in sets])
             yield out[right]
 
-    found = texts.join(wanted, "key").select("block", "member", "n", "tiles", "set_hash", "text")
+    # A few members are looked up where the texts are; more of them meet the texts in a shuffle.
+    asked = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    found = texts.join(asked, "key").select("block", "member", "n", "tiles", "set_hash", "text")
     made = found.mapInPandas(run, "block bigint, member bigint, n bigint, tiles int, items binary")
     return made.dropDuplicates(["member"])
 
@@ -317,14 +320,22 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, te
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", ident: str = "doc_id", **options) -> DataFrame:
     """The documents with one of each component left, the one with the smallest identifier; all columns."""
-    rows = linked(docs, words, percent, text=text, ident=ident, **options)
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"), F.col("key")))
-    stay = rows.groupBy("comp").agg(best.alias("best")).select(F.col("best.key").alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rows = cut_lineage(linked(docs, words, percent, text=text, ident=ident, **options))
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))).alias("best"))
+    stay = best.select(F.col("best.row").alias("row"), F.lit(1).alias("stays"))
+    left = rows.join(stay, "row", "left").groupBy(F.col("key").alias("_key")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.coalesce(F.sum("stays"), F.lit(0)).alias("_left"))
+    changed = cut_lineage(left.where("_left < _rows").select("_key", "_left"))
+    some = lambda keys: F.broadcast(keys) if changed.count() <= FEW else keys
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.xxhash64(F.col(ident), F.col(text)).alias("_key"))
-    kept = marked.join(stay, "_key")
-    # Repeated rows share a key: as many as stay (one, or all of those without a set).
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_n"))
-    return kept.withColumn("_turn", turn).where("_turn <= _n").select("_doc.*")
+    kept = marked.join(some(changed.select("_key")), "_key", "left_anti").select("_doc.*")
+    # Of repeated rows, which share a key, as many as stay.
+    partly = changed.where("_left > 0")
+    if partly.isEmpty():
+        return kept
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_left"))
+    again = marked.join(some(partly), "_key").withColumn("_turn", turn).where("_turn <= _left")
+    return kept.unionByName(again.select("_doc.*"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
