@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -26,14 +27,16 @@ SPANS = "array<struct<s:bigint,e:bigint,m:string>>"
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    """The matches of each fixed pattern that are long enough; a document without a long one skips the walk."""
+    """The matches of each fixed pattern that are long enough; a plain search first tells documents without any."""
     none = F.array().cast(SPANS)
+    small = F.lower(text)
+    named = [F.contains(small, F.lit(w)) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")]
     found = {
-        "assign": F.when(text.rlike(ASSIGN), F.filter(
+        "assign": F.when(reduce(Column.__or__, named), F.filter(
             match_spans(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= LEAST["assign"])),
-        "access": F.when(text.rlike("AKIA[A-Z0-9]{16,}"), F.filter(
+        "access": F.when(F.contains(text, F.lit("AKIA")), F.filter(
             match_spans(text, ACCESS), lambda x: F.length(x["m"]) >= LEAST["access"])),
-        "hex": F.when(text.rlike("[0-9a-f]{24,}"), F.filter(
+        "hex": F.when(text.rlike("[0-9a-f]{24}"), F.filter(
             match_spans(text, HEX), lambda x: F.length(x["m"]) >= LEAST["hex"])),
     }
     return {kind: F.coalesce(spans, none) for kind, spans in found.items()}
@@ -42,8 +45,9 @@ def base_spans(text: Column) -> dict[str, Column]:
 def scanned(docs: DataFrame, text: str, ident: str) -> DataFrame:
     """A narrow row per document: its fixed-pattern spans and the strings the models have to judge."""
     body = whole(F.col(text))
-    long = f"[{SYMBOL}]{{{TOKEN},}}"
-    tokens = F.when(body.rlike(long), match_spans(body, long))
+    # A string that is judged holds a digit, so texts without digits are not walked.
+    long = f"(?<![{SYMBOL}])[{SYMBOL}]{{{TOKEN},}}"
+    tokens = F.when(body.rlike("[0-9]"), F.filter(match_spans(body, long), lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")))
     return docs.select(
         F.col(ident).alias("id"), *[spans.alias(kind) for kind, spans in base_spans(body).items()],
         F.coalesce(tokens, F.array().cast(SPANS)).alias("tokens"),
@@ -60,22 +64,27 @@ def transitions(strings: DataFrame) -> DataFrame:
 
 
 def log_ratios(random: DataFrame, ordinary: DataFrame) -> list[float]:
-    """Log ratio of the two models' transition probabilities, by pair; add-one smoothing. The tables are of fixed size."""
+    """Log ratio of the two models' transition probabilities, by pair. The tables are of fixed size.
+
+    Counts have add-one smoothing. Known secrets use few alphabets, so half of the weight of the random model goes to
+    any character following any other.
+    """
     n = len(ALPHABET) + 1
 
-    def logs(counts: DataFrame) -> list[float]:
+    def shares(counts: DataFrame) -> list[float]:
         seen = [1.0] * (n * n)
         for row in counts.collect():
             seen[row["pair"]] += row["n"]
-        return [math.log(seen[a * n + b] / sum(seen[a * n:(a + 1) * n])) for a in range(n) for b in range(n)]
+        return [seen[a * n + b] / sum(seen[a * n:(a + 1) * n]) for a in range(n) for b in range(n)]
 
-    return [r - o for r, o in zip(logs(random), logs(ordinary), strict=True)]
+    return [math.log((r + 1 / n) / 2 / o) for r, o in zip(shares(random), shares(ordinary), strict=True)]
 
 
 def train(docs: DataFrame, base: DataFrame, text: str, ident: str, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Fit both models on labelled strings of about ``sample_docs`` documents each, chosen by a hash of the identifier.
 
-    Random strings are the values the fixed patterns found; ordinary strings are the other words of sampled documents.
+    Random strings are the values the fixed patterns found; ordinary strings are the other words of sampled documents,
+    without those that the models are to judge.
     """
     share = lambda n: F.pmod(F.xxhash64(F.col("id")), F.lit(1_000_000)) < int(1e6 * min(1.0, sample_docs / max(1, n)))
     hits = base.where(F.size("assign") + F.size("access") + F.size("hex") > 0)
@@ -85,14 +94,15 @@ def train(docs: DataFrame, base: DataFrame, text: str, ident: str, sample_docs:
     words = docs.select(F.col(ident).alias("id"), whole(F.col(text)).alias("body")).where(share(base.count()))
     rest = F.regexp_replace(F.regexp_replace("body", f"(?:{ASSIGN})|{ACCESS}", " "), "[0-9a-f]{24,}", " ")
     other = words.select(F.explode(F.regexp_extract_all(rest, F.lit(f"[{SYMBOL}]{{4,}}"), F.lit(0))).alias("word"))
-    return log_ratios(transitions(known), transitions(other))
+    judged = (F.length("word") >= TOKEN) & F.col("word").rlike("[0-9]") & F.col("word").rlike("[A-Za-z]")
+    return log_ratios(transitions(known), transitions(other.where(~judged)))
 
 
 def ratio(word: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a string, random against ordinary."""
     n = len(ALPHABET) + 1
     codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    scores = F.lit(model)
+    scores = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # folded to one constant
     step = lambda a, b: F.element_at(scores, (a * n + b + 1).cast("int"))
     steps = F.zip_with(F.slice(codes, 1, F.length(word) - 1), F.slice(codes, 2, F.length(word) - 1), step)
     return F.aggregate(steps, F.lit(0.0), lambda total, x: total + x)
@@ -115,7 +125,7 @@ def secret_spans(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, margin: float
     base = cut_lineage(scanned(docs, text, ident))
     model = train(docs, base, text, ident, sample_docs)
     fixed = base.withColumn("fixed", F.concat(*[F.transform(kind, numbered(no)) for no, kind in enumerate(KINDS[:3])]))
-    free = F.filter("tokens", lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & ~F.exists(
+    free = F.filter("tokens", lambda x: ~F.exists(
         "fixed", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
     judged = fixed.withColumn("free", free).withColumn("judged", F.transform("free", lambda x: F.struct(
         x["s"].alias("s"), F.lit(3).alias("kind_no"), x["e"].alias("e"), x["m"].alias("m"), ratio(x["m"], model).alias("llr"))))
