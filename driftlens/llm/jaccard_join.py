@@ -201,9 +201,10 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: in
     common = common_shingles(keyed, words)
     rows = keyed.withColumn("row", F.monotonically_increasing_id()).select("id", "key", "row", "text")
     facts = cut_lineage(sketches(rows, words, percent, common))
-    signed = facts.select("row", F.explode("sigs").alias("sig")).repartition("sig")
-    hubs = signed.groupBy("sig").agg(F.min("row").alias("hub"), F.max("row").alias("last")).where("hub < last").select("sig", "hub")
-    edges = signed.join(hubs, "sig").where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
+    # One shuffle by signature; a window reads a group as a stream that spills.
+    signed = facts.select("row", F.explode("sigs").alias("sig"))
+    hubs = signed.withColumn("hub", F.min("row").over(Window.partitionBy("sig"))).where("row <> hub")
+    edges = hubs.select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
     blocks = components(edges)
     facts = facts.drop("sigs")
     inside = cut_lineage(facts.join(blocks.withColumnRenamed("node", "row"), "row").withColumnRenamed("component", "block"))
@@ -255,10 +256,8 @@ def refined(sets: DataFrame, percent: int, tile: int, rounds: int = 2) -> DataFr
         if large.isEmpty():
             break
         signed = sign_again(large.select("block", "member", "items"), percent, seed).select("block", "member", F.explode("sigs").alias("sig"))
-        signed = signed.repartition("block", "sig")
-        hubs = signed.groupBy("block", "sig").agg(F.min("member").alias("hub"), F.max("member").alias("last")).where("hub < last")
-        edges = signed.join(hubs.select("block", "sig", "hub"), ["block", "sig"]).where("member <> hub")
-        parts = components(edges.select(F.col("member").alias("a"), F.col("hub").alias("b")).distinct())
+        hubs = signed.withColumn("hub", F.min("member").over(Window.partitionBy("block", "sig"))).where("member <> hub")
+        parts = components(hubs.select(F.col("member").alias("a"), F.col("hub").alias("b")).distinct())
         parts = parts.select(F.col("node").alias("member"), F.col("component").alias("block"))
         tiles = parts.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
         cut = large.drop("block", "tiles").join(parts, "member").join(tiles, "block")

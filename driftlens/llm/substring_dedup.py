@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from driftlens.llm.common import table, whole
 from driftlens.llm.suffix_sort import deep_shallow, neighbours
@@ -185,10 +185,10 @@ def keyed_groups(found: DataFrame, length: int, gram: int) -> DataFrame:
                 made.append(runs_of(held, length))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(made, pa.list_(pa.int64()))], ["h", "c", "spans"])
 
-    # Counted and met again in one shuffle.
-    each = found.mapInArrow(keys, "h bigint, c bigint, m bigint, string binary, n bigint").repartition("m", "string")
-    often = each.groupBy("m", "string").agg(F.sum("n").alias("n")).where("n >= 2").select("m", "string")
-    shifts = each.join(often, ["m", "string"]).groupBy("h", "c").agg(F.collect_set("m").alias("shifts"))
+    each = found.mapInArrow(keys, "h bigint, c bigint, m bigint, string binary, n bigint")
+    # One shuffle by string; a window reads a group as a stream that spills.
+    often = each.withColumn("total", F.sum("n").over(Window.partitionBy("m", "string"))).where("total >= 2")
+    shifts = often.groupBy("h", "c").agg(F.collect_set("m").alias("shifts"))
     return shifts.mapInArrow(spans, "h bigint, c bigint, spans array<bigint>")
 
 
