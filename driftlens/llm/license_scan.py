@@ -73,10 +73,11 @@ PLAIN = [
     ("mit", "mit", r"mit licen[cs]ed?"),
     ("mit", "mit", r"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?mit"),
     ("mit", "mit", r"(?:x11 mit|mit x11|expat mit|mit expat)(?: licen[cs]e)?"),
-    ("mit", "merchantability", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("isc", "isc", r"isc licen[cs]e"),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
     ("bsd", "bsd", r"bsd licen[cs]e"),
@@ -93,13 +94,14 @@ PLAIN = [
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e"),
     ("openssl", "openssl", r"openssl licen[cs]e"),
-    ("beerware", "beer", r"beer ?ware licen[cs]e"),
+    ("beerware", "beer", r"beer ware licen[cs]e"),
+    ("beerware", "beerware", r"beerware licen[cs]e"),
     ("json", "evil", r"the software shall be used for good not evil"),
     ("curl", "curl", r"curl licen[cs]e"),
     ("all-rights-reserved", "reserved", r"all rights reserved"),
     ("proprietary", "proprietary", r"proprietary (?:and confidential|licen[cs]e|software)"),
     ("proprietary", "confidential", r"confidential and proprietary"),
-    ("proprietary", "nonexclusive", r"no licen[cs]e is granted"),
+    ("proprietary", "granted", r"no licen[cs]e is granted"),
 ]
 # What announces a license in a text; such words raise the confidence in the name that follows.
 LEADS = r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed) under (?:the )?(?:terms of (?:the )?)?"
@@ -145,23 +147,14 @@ def words_before(norm: Column, at: Column) -> Column:
     return (F.length(F.regexp_replace(F.substring(norm, F.lit(1), at.cast("int")), "[^ ]+", "")) - 1).cast("bigint")
 
 
-def detections(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(facts, found): a row per document, and a row per detection that stands, with label, place and priority.
+def fired(facts: DataFrame) -> DataFrame:
+    """(row, label, priority, s, e): the matches of all rules in normalised texts, columns ``row`` and ``norm``.
 
-    Texts are lower-cased (A-Z only) and cut into words. Only texts with a hint are normalised. Their words meet the
-    rules on equal keywords, so a rule's pattern runs only where its keyword stands. A detection inside another of the
-    same or higher priority is suppressed; of equal places the higher priority, then the first label stays. Base phrases
-    are never suppressed.
+    Words meet the rules on equal keywords, so a rule's pattern runs only where its keyword stands; every match of a pattern
+    holds its keyword as a word.
     """
-    spark = docs.sparkSession
-    body = whole(F.col(text))
-    norm = F.when(body.rlike(HINT), F.regexp_replace(F.concat(F.lit(" "), lower_ascii(body), F.lit(" ")), SEPARATORS, " "))
-    facts = cut_lineage(docs.select(
-        F.col(ident).alias("id"), F.monotonically_increasing_id().alias("row"),
-        F.regexp_count(body, F.lit(RAW_WORD)).cast("bigint").alias("n_words"), norm.alias("norm"),
-    ))
     made = rules()
-    signatures = spark.createDataFrame(
+    signatures = facts.sparkSession.createDataFrame(
         [(label, key, pattern, priority) for label, key, pattern, priority in made], "label string, keyword string, pattern string, priority int"
     )
     keywords = F.array(*[F.lit(k) for k in sorted({r[1] for r in made})])
@@ -169,7 +162,23 @@ def detections(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> tu
         "row", "norm", F.explode(F.array_intersect(F.split("norm", " "), keywords)).alias("keyword")
     ).join(F.broadcast(signatures), "keyword")
     spans = gated.where(F.expr("norm RLIKE pattern")).select("row", "label", "priority", F.explode(match_spans(F.col("norm"), F.col("pattern"))).alias("x"))
-    spans = spans.select("row", "label", "priority", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    return spans.select("row", "label", "priority", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+
+
+def detections(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(facts, found): a row per document, and a row per detection that stands, with label, place and priority.
+
+    Texts are lower-cased (A-Z only) and cut into words. Only texts with a hint are normalised. A detection
+    inside another of the same or higher priority is suppressed; of equal places the higher priority, then the first
+    label stays. Base phrases are never suppressed.
+    """
+    body = whole(F.col(text))
+    norm = F.when(body.rlike(HINT), F.regexp_replace(F.concat(F.lit(" "), lower_ascii(body), F.lit(" ")), SEPARATORS, " "))
+    facts = cut_lineage(docs.select(
+        F.col(ident).alias("id"), F.monotonically_increasing_id().alias("row"),
+        F.regexp_count(body, F.lit(RAW_WORD)).cast("bigint").alias("n_words"), norm.alias("norm"),
+    ))
+    spans = fired(facts)
     ordered = Window.partitionBy("row").orderBy("s", F.desc("e"), "priority", "label")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     reach = [F.coalesce(F.max(F.when(F.col("priority") <= p, F.col("e"))).over(earlier), F.lit(-1)) for p in sorted(SCORES)]

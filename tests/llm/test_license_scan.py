@@ -1,9 +1,10 @@
 import random
 import re
+from functools import cache
 
 import pytest
 
-from driftlens.llm.license_scan import BASE, license_scan, rules
+from driftlens.llm.license_scan import BASE, fired, license_scan, rules
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -51,3 +52,50 @@ def test_rules_compile_and_are_many():
 
 def test_empty_table(docs_of):
     assert license_scan(docs_of([])).count() == 0
+
+
+@cache
+def ways(pattern):
+    """Every string that a rule's pattern, which has no unbounded repeats, matches."""
+    def walk(parts):
+        made = [""]
+        for op, value in parts:
+            name = str(op)
+            if name == "LITERAL":
+                tails = [chr(value)]
+            elif name == "IN":
+                tails = [chr(v) for _, v in value]
+            elif name == "SUBPATTERN":
+                tails = walk(value[3])
+            elif name == "BRANCH":
+                tails = [w for part in value[1] for w in walk(part)]
+            elif name == "MAX_REPEAT":
+                assert value[:2] == (0, 1)
+                tails = ["", *walk(value[2])]
+            else:
+                assert name in ("ASSERT", "ASSERT_NOT")
+                continue
+            made = [m + t for m in made for t in tails]
+        return made
+
+    return sorted(set(walk(re._parser.parse(pattern))))
+
+
+def test_every_match_holds_its_keyword():
+    assert [(r, w) for r in rules() for w in ways(r[2]) if r[1] not in w.split()] == []
+
+
+def test_every_rule_fires_on_its_own_text(spark):
+    made = rules()
+    texts = [(i, f" {w} ") for i, r in enumerate(made) for w in {ways(r[2])[0], ways(r[2])[-1]}]
+    texts = [(n, i, t) for n, (i, t) in enumerate(texts)]
+    got = {(r.row, r.label, r.priority, r.e) for r in fired(spark.createDataFrame(texts, "row bigint, rule bigint, norm string")).collect() if r.s == 1}
+    assert [made[i] for n, i, t in texts if (n, made[i][0], made[i][3], len(t) - 1) not in got] == []
+
+
+@pytest.mark.parametrize("text, label", [
+    ("built on FreeBSD", "bsd-2-clause"), ("Beerware License", "beerware"), ("Beer-Ware license", "beerware"), ("No license is granted.", "proprietary"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+])
+def test_labels_of_phrases_alone(docs_of, text, label):
+    assert license_scan(docs_of([(1, text)])).first().labels == label
