@@ -105,11 +105,12 @@ PLAIN = [
 ]
 # What announces a license in a text; such words raise the confidence in the name that follows.
 LEADS = r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed) under (?:the )?(?:terms of (?:the )?)?"
-# A text without any of these, in either case, matches no rule.
+# A text without any of these, in either case, matches no rule and no base phrase. Parts of one word only, so that any
+# separators may stand between the words of a rule; the short ones have to be words.
 HINT = (
-    r"(?i)licen[cs]|gpl|apache|asl|mpl|epl|eupl|cddl|cpl|ofl|osl|lppl|wtfpl|cecill|mulan|odbl|cc0|x11|expat|bsd|gfdl"
-    r"|reserved|domain|proprietary|unencumbered|evil|redistributions|permission is|permission to|confidential"
-    r"|attribution|\bcc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by\b"
+    r"(?i)licen[cs]|reserved|domain|proprietary|unencumbered|redistributions|confidential|attribution|freebsd"
+    rf"|(?<!{RAW_WORD[:-1]})(?:[al]?gpl|gfdl|apache|asl|mpl|epl|eupl|cddl|cpl|ofl|osl|lppl|wtfpl|cecill|mulan|odbl|etalab"
+    rf"|(?:{'|'.join(sorted({r[0] for r in VERSIONED if r[0] == r[1]}))})v[0-9]+|cc0?|x11|expat|bsd|evil|hereby)(?!{RAW_WORD[:-1]})"
 )
 SCORES = {1: 1.0, 2: 0.9, 3: 0.6}
 

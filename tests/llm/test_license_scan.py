@@ -4,7 +4,7 @@ from functools import cache
 
 import pytest
 
-from driftlens.llm.license_scan import BASE, fired, license_scan, rules
+from driftlens.llm.license_scan import BASE, HINT, LEADS, fired, license_scan, rules
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -99,3 +99,28 @@ def test_every_rule_fires_on_its_own_text(spark):
 ])
 def test_labels_of_phrases_alone(docs_of, text, label):
     assert license_scan(docs_of([(1, text)])).first().labels == label
+
+
+@pytest.mark.parametrize("between", [" ", "_", "\n", " \t\r\n# ", "-", "`", "[", "/", "\x00"])
+def test_every_match_has_a_hint(between):
+    bare = {w for r in rules() if not r[2].startswith(f"(?<= )(?:{LEADS}") for w in ways(r[2])} | set(BASE)
+    found = re.compile(HINT)
+    assert [t for t in bare if not found.search(f"_{t.replace(' ', between).upper()}_") or not found.search(t.replace(" ", between))] == []
+
+
+def test_separators_other_than_spaces(docs_of):
+    rng = random.Random(3)
+    phrases = ["CC BY-NC", "under the MIT License", "Apache License Version 2", "cc by", "éCC by NC", "CC BY NCé", "word"]
+    rows = [(1, "data/cc_by_nc/x.json"), (2, "Photo: CC-BY_NC"), (3, "_CC BY-NC 4.0_"), (4, "é_cc\nby\r\nnc_é"), (5, "cc_by_ncé"), (6, "écc_by_nc"), (7, "acc_by_nc")]
+    for n in range(200):
+        between = [rng.choice(["_", "\n", " ", "__", "-", "\r\n  ", "`"]) for _ in range(30)]
+        words = " ".join(rng.choices(phrases, k=3)).replace("-", " ").split()
+        rows.append((10 + n, "".join(w + b for w, b in zip(words, between))))
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan(docs_of(rows)).collect()}
+    assert got == {i: brute(t) for i, t in rows}
+
+
+def test_a_wrapped_grant(docs_of):
+    text = "Permission\nto use, copy, modify, and/or\n * distribute this software for any purpose with or without fee is\nhereby granted"
+    mit = "Permission\n# is hereby granted, free of charge, to any person\n# obtaining a copy of this software"
+    assert [r.labels for r in license_scan(docs_of([(1, text), (2, mit)])).orderBy("doc_id").collect()] == ["isc", "mit"]
