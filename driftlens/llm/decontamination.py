@@ -9,9 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftlens.llm.common import table, whole
 from driftlens.session import cut_lineage
 
-# Offsets of the words that a seed reads; the others may differ. All but the last have weight 6.
+# Offsets of the words that a seed reads; the others may differ. All but the last have weight 6. The SQL has these only.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 7, 10), (0, 1, 2, 5, 8, 9))
 SHORT_MASK = (0, 1, 2, 3, 4)   # for items with fewer words than the widest mask
+# (fewest words of an item, masks), longest first. Wherever 80 in a hundred of an item's words, or of some 16 of them, agree,
+# one of its masks reads equal words only; the tests enumerate all patterns.
+GROUPS = (
+    (11, (*MASKS, (0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 6, 8))),
+    (9, (SHORT_MASK, (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))),
+    (5, ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))),
+)
 WINDOW = 16                    # words of an item that have to be found together (the whole item if it is shorter)
 PERCENT = 80                   # of them in a hundred that have to agree
 BLOCK_KEYS = 1_000_000         # benchmark seeds broadcast at a time
@@ -24,20 +31,19 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(whole(text)), SEPARATORS), lambda w: w != "")
 
 
-def seeds(rows: DataFrame, keep: list[str], masks: tuple[tuple[int, ...], ...], first_mask: int = 0) -> DataFrame:
-    """(keep..., pos, seed): the hash of every mask at every place of ``h``, an array of word hashes.
+def seeds(rows: DataFrame, keep: list[str], groups: list[int]) -> DataFrame:
+    """(keep..., pos, seed): the hash of every mask of some groups at every place of ``h``, an array of word hashes.
 
     Places are generated next to the array, so hashing and the join that follows stay in one generated loop.
     """
-    span = max(m[-1] for m in masks) + 1
-    low = min(m[-1] for m in masks) + 1
+    masks = [(group, mask) for group in groups for mask in GROUPS[group][1]]
+    low = min(m[-1] for _, m in masks) + 1
     at = F.explode(F.sequence(F.lit(0), F.size("h") - low)).alias("pos")
     placed = rows.where(F.size("h") >= low).select(*keep, "h", at)
     keys = []
-    for no, mask in enumerate(masks):
-        key = F.xxhash64(F.lit(first_mask + no), *[F.get("h", F.col("pos") + k) for k in mask])
+    for group, mask in masks:
+        key = F.xxhash64(F.lit(group), F.lit(GROUPS[group][1].index(mask)), *[F.get("h", F.col("pos") + k) for k in mask])
         keys.append(key if mask[-1] + 1 == low else F.when(F.col("pos") + mask[-1] < F.size("h"), key))
-    assert span >= low
     return placed.select(*keep, "pos", F.explode(F.array(*keys)).alias("seed")).where("seed IS NOT NULL")
 
 
@@ -48,19 +54,23 @@ def hits(docs: DataFrame, items: DataFrame, block_keys: int = BLOCK_KEYS) -> Dat
     about ``block_keys``; each block meets all documents, so the size of a broadcast does not grow with the benchmark.
     """
     hashed = lambda rows, *keep: rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    span = max(m[-1] for m in MASKS) + 1
-    known = hashed(items, "item")
-    long, short = known.where(F.size("h") >= span), known.where(F.size("h") < span)
-    item_seeds = seeds(long, ["item"], MASKS).unionByName(seeds(short, ["item"], (SHORT_MASK,), len(MASKS)))
-    item_seeds = cut_lineage(item_seeds.select("seed", "item", F.col("pos").alias("item_pos")).distinct())
-    total = item_seeds.count()
-    blocks = max(1, -(-total // block_keys))
+    known, below, parts = hashed(items, "item"), None, []
+    for group, (least, _) in enumerate(GROUPS):
+        sized = known.where(F.size("h") >= least) if below is None else known.where(F.size("h").between(least, below - 1))
+        parts.append(seeds(sized, ["item"], [group]).withColumn("group", F.lit(group)))
+        below = least
+    item_seeds = reduce(DataFrame.unionByName, parts).select("seed", "item", F.col("pos").alias("item_pos"), "group")
+    item_seeds = cut_lineage(item_seeds.distinct())
+    made = {row["group"]: row["count"] for row in item_seeds.groupBy("group").count().collect()}
+    blocks = max(1, -(-sum(made.values()) // block_keys))
+    item_seeds = item_seeds.drop("group")
     text_hashes = hashed(docs, "key")
-    masks = (*MASKS, SHORT_MASK)
+    # Texts need the seeds of groups with items only; any group will do for a benchmark without items.
+    groups = sorted(made) or [0]
     found = []
     for no in range(blocks):
         part = item_seeds if blocks == 1 else item_seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == no)
-        met = seeds(text_hashes, ["key"], masks).join(F.broadcast(part), "seed")
+        met = seeds(text_hashes, ["key"], groups).join(F.broadcast(part), "seed")
         found.append(met.select("key", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     return reduce(DataFrame.unionByName, found).distinct()
 

@@ -1,9 +1,10 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 
-from driftlens.llm.decontamination import contaminated, keep_clean
+from driftlens.llm.decontamination import GROUPS, contaminated, keep_clean
 
 
 def brute(docs, items, window=16, percent=80):
@@ -70,3 +71,25 @@ def test_empty_tables(spark, docs_of, awkward):
     assert contaminated(docs_of(awkward), none).count() == 0 and keep_clean(docs_of(awkward), none).count() == len(awkward)
     some = spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, text string")
     assert contaminated(docs_of([]), some).count() == 0 and keep_clean(docs_of([]), some).count() == 0
+
+
+def test_seeds_hit_every_pattern_of_the_rule():
+    lost = []
+    for n in range(5, 17):
+        masks = next(masks for least, masks in GROUPS if n >= least)
+        places = [{p + k for k in mask} for mask in masks for p in range(n - mask[-1])]
+        lost += [(n, c) for c in combinations(range(n), n * 20 // 100) if not any(p.isdisjoint(c) for p in places)]
+    assert lost == []
+
+
+@pytest.mark.parametrize("block_keys", [1_000_000, 50])
+def test_substitutions_in_short_items(spark, docs_of, block_keys):
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in range(5, 17)]
+    docs = [
+        (f"{n}-{c}", "before it " + " ".join("other" if k in c else w for k, w in enumerate(words)) + " and after")
+        for n, words in items for c in combinations(range(n), n * 20 // 100)
+    ]
+    rows = [(d, text) for d, (_, text) in enumerate(docs)]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(rows), bench, block_keys=block_keys).collect()}
+    assert got == {(d, int(name.split("-")[0])) for d, (name, _) in enumerate(docs)}
