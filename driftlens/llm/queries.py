@@ -21,7 +21,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
-    "op5_quality": quality.op5_quality,
     "op6_decontamination": decontamination.OP6_SQL,
     "op9_ngram_jaccard": jaccard_join.OP9_SQL,
 }

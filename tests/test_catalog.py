@@ -43,6 +43,10 @@ def test_every_oracle_has_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
+def test_every_oracle_is_sql():
+    assert [name for name, sql in entry_points.oracle_sql().items() if not isinstance(sql, str)] == []
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["part", "pos", "label", "count"] and df.count() > 30
