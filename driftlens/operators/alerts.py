@@ -11,20 +11,24 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from driftlens.functions.text import alert_message
 from driftlens.operators.ordering import first_n, with_ordinal
 from driftlens.operators.predicates import not_alert_source
+from driftlens.operators.rule_index import GRAM, candidates, pattern_index
 from driftlens.operators.runs import MIN_CHUNK, TABLE_TYPE, chain_entries, place_in_chunks, select_spaced, whole_groups
 from driftlens.schema import ALERT_SOURCE
 
 # Rules beyond this number are joined in several rounds, each with a broadcast of at most this size.
 MAX_BROADCAST_RULES = 10_000
+# Rules from which on an index over their patterns pays; see the README for the figures.
+INDEX_FROM = 512
 
 FIRED_COLUMNS = ["id", "name", "count", "fired_at", "last", "sound", "event_id", "rule_no"]
 
 
-def match_rules(df: DataFrame, rules: DataFrame, total: int | None = None) -> DataFrame:
+def match_rules(df: DataFrame, rules: DataFrame, total: int | None = None, index_from: int = INDEX_FROM) -> DataFrame:
     """One row per event and rule it matches; empty rule parts match anything.
 
-    The rules carry their columns over with the prefix ``rule_``. Alert events never match. ``total`` is the
-    number of rules at most, where the caller has counted them.
+    The rules carry their columns over with the prefix ``rule_``. Alert events never match. ``total`` is the number of
+    rules at most, where the caller has counted them. From ``index_from`` rules on, those with a pattern of three
+    characters or more are found through an index over their patterns; the others are compared one by one.
     """
     named = rules.select(
         "rule_no",
@@ -45,18 +49,25 @@ def match_rules(df: DataFrame, rules: DataFrame, total: int | None = None) -> Da
     )
     if total is None:
         total = (named.agg(F.max("rule_no").alias("last")).first().last or 0) + 1
-    if total <= MAX_BROADCAST_RULES:
-        rounds = [named]
-    else:
-        rounds = [
-            named.where(F.col("rule_no").between(start, start + MAX_BROADCAST_RULES - 1))
-            for start in range(0, total, MAX_BROADCAST_RULES)
-        ]
-    joined = [events.join(F.broadcast(part), matches).drop("_pattern", "_source", "_level") for part in rounds]
+    plain, joined = named, []
+    if total >= index_from:
+        for part in _rounds(pattern_index(named, "_pattern", "rule_no"), total):
+            joined.append(candidates(events, "message", part, matches))
+        plain = named.where(F.length("_pattern") < GRAM)
+    if not joined or not plain.isEmpty():
+        joined += [events.join(F.broadcast(part), matches) for part in _rounds(plain, total)]
     result = joined[0]
     for part in joined[1:]:
         result = result.unionByName(part)
-    return result
+    return result.drop("_pattern", "_source", "_level")
+
+
+def _rounds(rules: DataFrame, total: int) -> list[DataFrame]:
+    """The rules in parts small enough for a broadcast each."""
+    if total <= MAX_BROADCAST_RULES:
+        return [rules]
+    starts = range(0, total, MAX_BROADCAST_RULES)
+    return [rules.where(F.col("rule_no").between(start, start + MAX_BROADCAST_RULES - 1)) for start in starts]
 
 
 def fire_alerts(df: DataFrame, rules: DataFrame, min_chunk: int = MIN_CHUNK) -> DataFrame:

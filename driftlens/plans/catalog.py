@@ -573,6 +573,13 @@ def match_rules(spark, sf_dir):
     return alerts.match_rules(_log(spark, sf_dir), _rules(spark)).select("rule_id", "id")
 
 
+@query
+def match_many_rules(spark, sf_dir):
+    """As many rules as there are paths and changes of files, found through the index over their patterns."""
+    found = alerts.match_rules(_log(spark, sf_dir), settings.load_rules(spark, fixtures.many_rules()))
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("events"), F.max("id").alias("last_id"))
+
+
 @query
 def zero_fill(spark, sf_dir):
     now = _now(spark, sf_dir)

@@ -17,6 +17,14 @@ RULES = [
     (4, "src", "entr only", "", "entr", "stdout", 3, 1800, False),
 ]
 
+def many_rules() -> list[dict]:
+    """A rule for each kind of change of each path of the fixture, and two that name no path."""
+    paths = [f"/{top}/u{user}/k{kind} {change}" for top in ("log", "tmp", "cache", "folders") for user in range(10)
+             for kind in range(5) for change in ("Created", "Updated", "Removed", "Renamed")]
+    named = [{"id": path, "name": path, "pattern": path, "source": "entr" if path.endswith("Removed") else ""} for path in paths]
+    return [*named, {"id": "k3", "name": "k3", "pattern": "k3", "level": "stderr"}, {"id": "beat", "name": "beat", "pattern": "heartbeat"}]
+
+
 # The default presets, but for the target of ``temp``, which has no rows here.
 PRESETS = {p["id"]: {**p, "target": "/var/tmp"} if p["id"] == "temp" else p for p in DEFAULT_PRESETS}
 

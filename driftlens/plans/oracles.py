@@ -57,6 +57,15 @@ matched AS (
     AND (r.lvl = '' OR le.level = r.lvl) WHERE le.source <> 'alert')
 """
 
+MANY_RULES = """
+many(rule_id, pattern, src, lvl) AS (
+  SELECT p, p, CASE WHEN change = 'Removed' THEN 'entr' ELSE '' END, '' FROM (
+    SELECT '/' || top || '/u' || u.range || '/k' || k.range || ' ' || change AS p, change
+    FROM (VALUES ('log'), ('tmp'), ('cache'), ('folders')) t(top), range(10) u, range(5) k,
+      (VALUES ('Created'), ('Updated'), ('Removed'), ('Renamed')) c(change))
+  UNION ALL VALUES ('k3', 'k3', '', 'stderr'), ('beat', 'heartbeat', '', ''))
+"""
+
 # A rule fires at a match that has min_events matches in its window, then again min_events matches on.
 FIRED = RULES + """,
 nth AS (
@@ -423,6 +432,11 @@ FROM nodes, (SELECT max(count) AS top FROM nodes)""",
     "alert_count": _log("SELECT least(count(*), 100) AS alerts FROM fired", FIRED),
     "source_overview": _log("SELECT source, count(*) AS events, max(ts_ms) AS last_ms FROM le GROUP BY source"),
     "match_rules": _log("SELECT rule_id, id FROM matched", RULES),
+    "match_many_rules": _log(
+        """SELECT rule_id, count(*) AS events, max(id) AS last_id FROM le JOIN many ON contains(message, pattern)
+AND (src = '' OR source = src) AND (lvl = '' OR level = lvl) GROUP BY rule_id""",
+        MANY_RULES,
+    ),
     "zero_fill": _log(_hourly(24, "source = 'entr'")),
     "link_children": _log("SELECT path, coalesce(path IN (SELECT parent FROM nodes WHERE parent IS NOT NULL), false) AS has_children FROM nodes", _nodes()),
     "hide_collapsed": _log(

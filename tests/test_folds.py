@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftlens.operators import alerts
 from driftlens.operators.dedup import dedup_window
 from driftlens.operators.runs import activity_runs, select_spaced
-from driftlens.schema import RULE_SCHEMA
+from driftlens.schema import ALERT_HISTORY, RULE_SCHEMA
 from driftlens.sources.settings import load_rules
 
 
@@ -177,9 +177,12 @@ def test_feedback_history_and_badge(spark, log_of):
     rules = load_rules(spark, [{"id": "each", "name": "Each", "pattern": "m", "sound": True}])
     log = log_of([(n, n * 1000, "s", "l", f"m{n}") for n in range(130)])
     fired = alerts.fire_alerts(log, rules)
-    history = alerts.alert_history(fired).collect()
+    history = alerts.alert_history(fired, ALERT_HISTORY).collect()
     assert len(history) == 100 and history[0].last == "m129" and history[0].sound
-    assert alerts.alert_count(fired).first().alerts == 100
+    assert alerts.alert_count(fired, ALERT_HISTORY).first().alerts == 100
+    # Without a cap the history is whole.
+    whole = alerts.alert_history(fired).collect()
+    assert [r.last for r in whole] == [f"m{n}" for n in range(129, -1, -1)] and alerts.alert_count(fired).first().alerts == 130
     fed = alerts.alert_feedback(log, fired)
     assert fed.where("source = 'alert' AND level = 'warn'").count() == 130
     assert fed.where("message = 'alert: Each (1 events) — m5'").count() == 1
