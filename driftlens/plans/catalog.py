@@ -58,11 +58,17 @@ def _presets(spark: SparkSession) -> dict:
     return settings.preset_map(settings.load_presets(spark, list(fixtures.PRESETS.values())))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return fixtures.as_log(raw)
+def _stream(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The events as a stream of several micro-batches, each a stretch of time that was written after the one before."""
+    log = _log(spark, sf_dir)
+    ends = log.agg(F.unix_millis(F.min("ts")).alias("first"), F.unix_millis(F.max("ts")).alias("last")).first()
+    folder, width = scratch_path(spark, "events"), (ends.last - ends.first) // batches + 1
+    for part in range(batches):
+        since = ends.first + part * width
+        rows = log.where((F.col("ts") >= times.at_ms(since)) & (F.col("ts") < times.at_ms(since + width)))
+        rows.coalesce(1).write.parquet(f"{folder}/part={part}")
+    reader = spark.readStream.schema(log.schema).option("recursiveFileLookup", True)
+    return reader.option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 # Sources and sinks
@@ -518,7 +524,10 @@ def heatmap(spark, sf_dir):
 @query
 def event_rate(spark, sf_dir):
     """Every second from the first to the last event, summed up by hour for comparison."""
-    samples = rate.event_rate(_log(spark, sf_dir))
+    return _by_hour(rate.event_rate(_log(spark, sf_dir)))
+
+
+def _by_hour(samples: DataFrame) -> DataFrame:
     return samples.groupBy(times.epoch_hour(F.col("ts")).alias("hour")).agg(
         F.count(F.lit(1)).alias("seconds"), F.count_if(F.col("events") == 0).alias("idle"), F.sum("events").alias("events"),
         F.max("events_sec").alias("peak"), F.unix_millis(F.min("ts")).alias("first_ms"),
@@ -652,9 +661,8 @@ def fire_alerts_stream(spark, sf_dir):
 
 @query
 def rate_stream(spark, sf_dir):
-    """Closed intervals only: the ones the watermark has passed."""
-    counts = flows.run_to_table(flows.rate_stream(_stream(spark, sf_dir), WATERMARK, "1 hour"))
-    return counts.select(F.unix_millis("ts").alias("ts_ms"), "events")
+    """Every second that the watermark has passed, idle ones too, summed up by hour for comparison."""
+    return _by_hour(flows.run_to_table(folds.rate_stream(_stream(spark, sf_dir), WATERMARK)))
 
 
 @query
@@ -664,11 +672,23 @@ def live_tail(spark, sf_dir):
 
 @query
 def diff_stream(spark, sf_dir):
-    table = scratch_path(spark, "snapshot-stream")
+    """Snapshots in three micro-batches; the state knows digests, and contents come from the stored table."""
+    table, kept = scratch_path(spark, "snapshot-stream"), scratch_path(spark, "snapshot-diffs")
     snaps = fixtures.snapshots(spark, sf_dir)
-    snaps.write.parquet(table)
-    stream = spark.readStream.schema(snaps.schema).parquet(table)
-    return flows.run_to_table(folds.diff_stream(stream)).select("path", "version_id", F.unix_millis("ts").alias("ts_ms"), "added", "removed")
+    # A path's versions follow one another in time, which here is their number.
+    last = snaps.agg(F.max("version_id").alias("last")).first().last
+    for part in range(3):
+        third = F.floor(F.col("version_id") * 3 / (last + 1))
+        snaps.where(third == part).coalesce(1).write.parquet(f"{table}/part={part}")
+    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(table)
+
+    def keep(df, batch):
+        df.write.mode("overwrite").parquet(f"{kept}/batch={batch}")
+
+    handler = folds.diff_batches(lambda: snapshots.read_snapshots(spark, table), keep)
+    flows.run_available(folds.version_changes(stream).writeStream.foreachBatch(handler), spark)
+    found = spark.read.parquet(f"{kept}/batch=*")
+    return found.select("path", "version_id", F.unix_millis("ts").alias("ts_ms"), "added", "removed")
 
 
 @query

@@ -474,8 +474,9 @@ UNION ALL SELECT fired_ms, 'alert', 'warn', alert FROM fired""",
     ),
     "fire_alerts_stream": _log(_FIRED_ROWS, FIRED),
     "rate_stream": _log(
-        f"""SELECT ts_ms // {HOUR_MS} * {HOUR_MS} AS ts_ms, count(*) AS events FROM le, a
-WHERE (ts_ms // {HOUR_MS} + 1) * {HOUR_MS} <= now - {HOUR_MS} GROUP BY ALL"""
+        f"""SELECT ts_ms // {HOUR_MS} AS hour, count(*) AS seconds, count(*) FILTER (WHERE events = 0) AS idle,
+  CAST(sum(events) AS BIGINT) AS events, max(events_sec) AS peak, min(ts_ms) AS first_ms
+FROM ({_rate(1000)}) WHERE ts_ms <= (SELECT max(ts_ms) // 1000 * 1000 FROM le, a WHERE (ts_ms // 1000 + 1) * 1000 <= now - {HOUR_MS}) GROUP BY ALL"""
     ),
     "live_tail": _log(
         f"""SELECT '{{"ts":"' || {RFC3339} || '","source":"' || source || '","level":"' || level || '","message":"' || message || '"}}' AS value
