@@ -74,6 +74,32 @@ def _stream(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
 # Sources and sinks
 
 
+@query
+def live_text_sources(spark, sf_dir):
+    """Lines of two programs, written to a folder each in several files and read as one stream in several micro-batches."""
+    folder, sources = scratch_path(spark, "text-lines"), {}
+    for name in ("fswatch", "entr"):
+        lines = _log(spark, sf_dir).where(predicates.source_eq(name)).select(F.col("message").alias("value"))
+        lines.repartition(3).write.text(f"{folder}/{name}")
+        sources[name] = logs.read_log_lines(spark, f"{folder}/{name}", name, stream=True, files_per_batch=1)
+    found = flows.run_to_table(logs.union_live(sources, WATERMARK)).where("ts IS NOT NULL")
+    return found.groupBy("source", "level", "message").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def snapshot_folder(spark, sf_dir):
+    """Files of a folder captured as versions; a second look finds nothing new."""
+    folder, table = scratch_path(spark, "folder"), scratch_path(spark, "captured")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 20).alias("part"), "doc_id", "text")
+    ordered = docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text")
+    ordered.write.partitionBy("part").text(folder)
+    snapshots.capture_folder(spark, folder, table)
+    if snapshots.capture_folder(spark, folder, table):
+        raise RuntimeError("files that nobody changed were captured again")
+    part = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("bigint").alias("part")
+    return snapshots.read_snapshots(spark, table).select(part, "size", F.md5("content").alias("md5"))
+
+
 @query
 def append_and_read_logs(spark, sf_dir):
     table = scratch_path(spark, "log-table")

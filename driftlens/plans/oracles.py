@@ -277,6 +277,9 @@ UNION ALL SELECT 'top_paths', CAST(row_number() OVER (ORDER BY count DESC, path)
 
 
 ORACLES: dict[str, str] = {
+    "live_text_sources": _log("SELECT source, 'stdout' AS level, message, count(*) AS events FROM le WHERE source IN ('fswatch', 'entr') GROUP BY source, message"),
+    "snapshot_folder": """SELECT doc_id % 20 AS part, CAST(sum(strlen(text) + 1) AS BIGINT) AS size, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS md5
+FROM documents GROUP BY doc_id % 20""",
     **{name: _log(f"SELECT {ROWS} FROM le, a WHERE {where}") for name, where in _WHERE.items()},
     "append_and_read_logs": _log(
         "SELECT row_number() OVER (ORDER BY ts_ms, id) AS id, ts_ms, source, level, message FROM le"

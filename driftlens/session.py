@@ -55,3 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def files(spark: SparkSession):
+    """(path, file system of a path): the functions of Hadoop's file systems, for any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def path(name: str):
+        return jvm.org.apache.hadoop.fs.Path(name)
+
+    def fs(name: str):
+        return path(name).getFileSystem(conf)
+
+    return path, fs

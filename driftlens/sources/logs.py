@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from driftlens.functions import times
 from driftlens.operators.ordering import with_ordinal
 from driftlens.schema import EVENT_SCHEMA, LOG_SCHEMA, RETENTION_DAYS
-from driftlens.session import scratch_path
+from driftlens.session import files, scratch_path
 
 # Layout: <table>/dt=<UTC date>/writer=<name>/batch=<n>/. A batch of a writer is written whole and can be written again.
 # <table>/_ids/ holds an empty file per batch whose name tells the ids given to it: <last>-<first>-<writer>-<batch>.
@@ -33,9 +33,13 @@ def stamp_missing_ts(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.coalesce("ts", F.current_timestamp()))
 
 
-def read_log_lines(spark: SparkSession, path: str, source: str, level: str = "stdout", stream: bool = False) -> DataFrame:
-    """Raw text lines as events; lines of white space only are dropped."""
+def read_log_lines(
+    spark: SparkSession, path: str, source: str, level: str = "stdout", stream: bool = False, files_per_batch: int | None = None
+) -> DataFrame:
+    """Raw text lines as events; lines of white space only are dropped. As a stream with at most so many files a micro-batch."""
     reader = spark.readStream if stream else spark.read
+    if stream and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = reader.format("text").schema("value string").option("lineSep", "\n").load(path)
     message = F.regexp_replace("value", "\r$", "")
     events = lines.where(F.col("value").rlike(r"(?U)\S")).select(
@@ -67,22 +71,22 @@ def union_sources(sources: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
-def _files(spark: SparkSession):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def union_live(sources: Mapping[str, DataFrame], watermark: str, wait_for_slowest: bool = True) -> DataFrame:
+    """All live sources as one stream, each with a watermark of its own.
 
-    def path(name: str):
-        return jvm.org.apache.hadoop.fs.Path(name)
-
-    def fs(name: str):
-        return path(name).getFileSystem(conf)
-
-    return path, fs
+    The stream's watermark is that of the slowest source, so that a source which lags behind loses nothing; a source
+    that falls silent then holds it back. Without ``wait_for_slowest`` it is that of the fastest. The choice is a setting
+    of the session and goes for all queries started from now on.
+    """
+    marked = {name: df.withWatermark("ts", watermark) for name, df in sources.items()}
+    union = union_sources(marked)
+    union.sparkSession.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "min" if wait_for_slowest else "max")
+    return union
 
 
 def _partitions(spark: SparkSession, pattern: str) -> list[str]:
     """Folders matching a pattern: table metadata only."""
-    path, fs = _files(spark)
+    path, fs = files(spark)
     return [status.getPath().toString() for status in fs(pattern).globStatus(path(pattern)) or []]
 
 
@@ -119,7 +123,7 @@ def append_logs(df: DataFrame, path: str, batch: int | None = None, writer: str
     rows = rows.withColumn("_arrival", F.monotonically_increasing_id())
     numbered = with_ordinal(rows, [], [F.col("ts"), F.col("_arrival")], "_nth")
     count = numbered.count()
-    path_of, fs = _files(spark)
+    path_of, fs = files(spark)
     if (writer, batch) in given:
         first, last = given[writer, batch]
         # A retry may bring other days than the attempt before.
@@ -164,7 +168,7 @@ def compact_days(spark: SparkSession, path: str, before: date) -> int:
     removed; run again after a failure in between, it drops the rows that are there twice. Marks of ids are kept for
     the last batch of each writer only.
     """
-    path_of, fs = _files(spark)
+    path_of, fs = files(spark)
     days: dict[str, list[str]] = {}
     for folder in _partitions(spark, f"{path}/dt=*/writer=*/batch=*"):
         days.setdefault(_value(folder, "dt"), []).append(folder)
@@ -207,7 +211,7 @@ def prune_table(spark: SparkSession, path: str, as_of: datetime, retention_days:
     """
     moment = times.to_ms(cutoff(as_of, retention_days))
     day = _day(moment)
-    path_of, fs = _files(spark)
+    path_of, fs = files(spark)
     gone = [f for f in _partitions(spark, f"{path}/dt=*") if _value(f, "dt") < day]
     edge = _partitions(spark, f"{path}/dt={day}/writer=*/batch=*")
     reader = spark.read.schema(TABLE_SCHEMA).option("basePath", path)
