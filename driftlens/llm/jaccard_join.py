@@ -204,8 +204,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: in
     # One shuffle by signature; a window reads a group as a stream that spills.
     signed = facts.select("row", F.explode("sigs").alias("sig"))
     hubs = signed.withColumn("hub", F.min("row").over(Window.partitionBy("sig"))).where("row <> hub")
-    edges = hubs.select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
-    blocks = components(edges)
+    blocks = components(hub_links(hubs.select("row", "hub")))
     facts = facts.drop("sigs")
     inside = cut_lineage(facts.join(blocks.withColumnRenamed("node", "row"), "row").withColumnRenamed("component", "block"))
     members = inside.groupBy("block", "n", "set_hash").agg(F.min(F.struct("row", "key")).alias("m"), F.count(F.lit(1)).alias("copies"))
@@ -227,6 +226,17 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: in
     return facts.join(placed, "row", "left").select("id", "key", "row", "n", F.coalesce("comp", "row").alias("comp"))
 
 
+def hub_links(hubs: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of the (row, hub) pairs, about one per row instead of one per signature.
+
+    A row is linked to its smallest hub, and that hub to the row's other ones; rows of a group share most of those.
+    """
+    each = hubs.groupBy("row").agg(F.collect_set("hub").alias("hubs")).withColumn("low", F.array_min("hubs"))
+    own = each.select(F.col("row").alias("a"), F.col("low").alias("b"))
+    among = each.select(F.col("low").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
+    return own.unionByName(among)
+
+
 def fetch_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """The shingle sets of the wanted members; a text that only shares the key is told apart by the hash of its set."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +267,7 @@ def refined(sets: DataFrame, percent: int, tile: int, rounds: int = 2) -> DataFr
             break
         signed = sign_again(large.select("block", "member", "items"), percent, seed).select("block", "member", F.explode("sigs").alias("sig"))
         hubs = signed.withColumn("hub", F.min("member").over(Window.partitionBy("block", "sig"))).where("member <> hub")
-        parts = components(hubs.select(F.col("member").alias("a"), F.col("hub").alias("b")).distinct())
+        parts = components(hub_links(hubs.select(F.col("member").alias("row"), "hub")))
         parts = parts.select(F.col("node").alias("member"), F.col("component").alias("block"))
         tiles = parts.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
         cut = large.drop("block", "tiles").join(parts, "member").join(tiles, "block")
