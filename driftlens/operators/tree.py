@@ -63,21 +63,22 @@ def link_children(rollup: DataFrame) -> DataFrame:
 def with_walk_key(rollup: DataFrame) -> DataFrame:
     """Add ``walk_key``, which sorts nodes in pre-order with siblings in their order.
 
-    The key lists (-count, name) of the node's ancestors and itself. Deep directories share their
-    upper ancestors; the join on them is left to skew handling, and the lists are as long as the path.
+    The key lists (-count, name) of the node's ancestors and itself. It is handed down level by level: a node takes its
+    parent's key and adds its own step, so an upper directory is met once per child and never once per descendant. That is
+    one checkpointed round per level of the paths; a directory with very many children of its own is left to Spark's
+    handling of skewed joins.
     """
-    steps = rollup.where(F.col("depth") > 0).select(
-        "path", F.posexplode(paths.path_prefixes(F.col("path"))).alias("level", "ancestor")
-    )
-    marks = rollup.select(F.col("path").alias("ancestor"), (-F.col("count")).alias("o"), "name")
-    keys = (
-        steps.join(marks, "ancestor")
-        .groupBy("path")
-        .agg(F.array_sort(F.collect_list(F.struct("level", "o", "name"))).alias("walk_key"))
-    )
-    return rollup.join(keys, "path", "left").withColumn(
-        "walk_key", F.coalesce("walk_key", F.array().cast("array<struct<level:int,o:bigint,name:string>>"))
-    )
+    empty = F.array().cast("array<struct<level:int,o:bigint,name:string>>")
+    step = F.struct(F.col("depth").cast("int").alias("level"), (-F.col("count")).alias("o"), "name")
+    nodes = rollup.select("path", "parent", "depth", step.alias("step"))
+    deepest = nodes.agg(F.max("depth").alias("deepest")).first().deepest or 0
+    keys = above = nodes.where(F.col("depth") == 0).select("path", empty.alias("walk_key"))
+    for level in range(1, deepest + 1):
+        here = nodes.where(F.col("depth") == level)
+        handed = here.join(above.select(F.col("path").alias("parent"), "walk_key"), "parent", "left")
+        above = cut_lineage(handed.select("path", F.concat(F.coalesce("walk_key", empty), F.array("step")).alias("walk_key")))
+        keys = keys.unionByName(above)
+    return rollup.join(keys, "path", "left").withColumn("walk_key", F.coalesce("walk_key", empty))
 
 
 def flatten_tree(rollup: DataFrame, collapsed: Iterable[str] | DataFrame = ()) -> DataFrame:

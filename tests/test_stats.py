@@ -133,6 +133,21 @@ def test_flattening_and_collapsing(spark, log_of, at):
     assert [(r.path, r.depth, r.has_children) for r in tree.flatten_tree(rollup, collapsed).collect()] == walk
 
 
+def test_walk_of_a_random_tree(log_of, at):
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, 0, "s", "l", "/" + "/".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) + " x") for i in range(400)]
+    found = tree.flatten_tree(tree.path_rollup(log_of(rows), at(10), 1)).collect()
+    counts = {}
+    for *_, message in rows:
+        parts = message.split()[0].split("/")[1:]
+        for n in range(1, len(parts) + 1):
+            counts[tuple(parts[:n])] = counts.get(tuple(parts[:n]), 0) + 1
+    wanted = sorted(counts, key=lambda p: [(-counts[p[:n + 1]], p[n]) for n in range(len(p))])
+    assert [(r.path, r["count"], r.depth) for r in found] == [("/" + "/".join(p), counts[p], len(p)) for p in wanted]
+
+
 def test_tree_json(log_of, at):
     import json
 
