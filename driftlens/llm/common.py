@@ -8,6 +8,7 @@ from driftlens.session import cut_lineage
 
 # The white space that separates words, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
+PART_LINKS = 5_000      # links in one part while components are found, at least
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +76,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = both.union(both.select("other", "node")).where("node <> other").distinct()
     both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    # Few links are kept in few parts: every round writes files for each part.
+    parts = 1 + both.count() // PART_LINKS
+    both = both.coalesce(parts)
+    labels = cut_lineage(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")).coalesce(parts))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other")
         pulled = near.groupBy("node").agg(F.min("label").alias("near"))
@@ -84,7 +88,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         told = moved.where("low < label").groupBy(F.col("label").alias("node")).agg(F.min("low").alias("told"))
         moved = moved.join(told, "node", "left").select("node", "label", F.least("low", F.col("told")).alias("low"))
         jump = moved.select(F.col("node").alias("low"), F.col("low").alias("jump"))
-        fresh = cut_lineage(moved.join(jump, "low").select("node", F.col("jump").alias("label"), (F.col("jump") < F.col("label")).alias("changed")))
+        fresh = moved.join(jump, "low").select("node", F.col("jump").alias("label"), (F.col("jump") < F.col("label")).alias("changed"))
+        fresh = cut_lineage(fresh.coalesce(parts))
         labels = fresh.select("node", "label")
         if fresh.where("changed").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
