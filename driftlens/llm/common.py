@@ -30,25 +30,45 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def running(values: Column, join) -> Column:
+    """An array with each element joined with all before it; ``join`` is associative, as sums and maxima are.
+
+    Each round joins to every element the one 1, 2, 4, ... places before it, so n elements take n log n steps and no array
+    is copied once per element.
+    """
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def add(so_far: Column, k: Column) -> Column:
+        before = lambda i: F.get(so_far, i - F.pow(F.lit(2), k).cast("int"))
+        return F.transform(so_far, lambda x, i: F.coalesce(join(before(i), x), x))
+
+    return F.aggregate(rounds, values, add)
+
+
+def running_sums(lengths: Column) -> Column:
+    """The sums of an array<bigint> up to and with each element."""
+    return running(lengths, lambda a, b: a + b)
+
+
 def match_spans(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches as array<struct<s, e, m>>, offsets in code points.
 
     ``split`` and ``regexp_extract_all`` walk the same matches, so the pieces between matches and the matches
     themselves give every offset. The pattern never matches the empty string.
     """
-    pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
-    empty = F.lit(None).cast("array<struct<s:bigint,e:bigint,m:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.coalesce(empty, F.array()).cast("array<struct<s:bigint,e:bigint,m:string>>").alias("out"))
+    both = F.struct(F.split(text, pattern, -1).alias("p"), found.alias("m"))
+
+    def laid(x: Column) -> Column:
+        steps = F.zip_with(F.slice(x["p"], 1, F.size(x["m"])), x["m"], lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
+        return F.zip_with(let(steps, running_sums), x["m"], lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
+
+    return let(both, laid)
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["p"])
-        end = begin + F.length(pair["m"])
-        row = F.struct(begin.alias("s"), end.alias("e"), pair["m"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(row)).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"))
-    return F.aggregate(pairs, start, step, lambda state: state["out"])
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from driftlens.llm.common import lower_ascii, match_spans, table, whole
+from driftlens.llm.common import let, lower_ascii, match_spans, running_sums, table, whole
 from driftlens.session import cut_lineage
 
 # Separators after lower-casing, the base phrases and their labels.
@@ -143,9 +143,12 @@ def rules() -> list[tuple[str, str, str, int]]:
     return [(label, keyword, f"(?<= )(?:{pattern})(?= )", priority) for label, keyword, pattern, priority in made]
 
 
-def words_before(norm: Column, at: Column) -> Column:
-    """Number of words that end before a place in the normalised text."""
-    return (F.length(F.regexp_replace(F.substring(norm, F.lit(1), at.cast("int")), "[^ ]+", "")) - 1).cast("bigint")
+def phrase_words(norm: Column, phrase: str) -> Column:
+    """The numbers of the words that a phrase starts at, wherever it stands in the normalised text."""
+    pieces = F.split(norm, f"(?<= ){phrase}(?= )", -1)
+    # Every word ends before a space; a phrase holds fewer spaces than words.
+    spaces = lambda parts: F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.regexp_count(p, F.lit(" ")).cast("bigint"))
+    return F.transform(let(let(pieces, spaces), running_sums), lambda n, i: n + i * phrase.count(" ") - 1)
 
 
 def fired(facts: DataFrame) -> DataFrame:
@@ -198,8 +201,7 @@ def license_scan(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
     norm = F.col("norm")
     starts, labels = [], []
     for phrase, label in BASE.items():
-        places = F.when(F.contains(norm, F.lit(f" {phrase} ")), F.transform(
-            match_spans(norm, f"(?<= ){phrase}(?= )"), lambda x: words_before(norm, x["s"])))
+        places = F.when(F.contains(norm, F.lit(f" {phrase} ")), phrase_words(norm, phrase))
         starts.append(F.coalesce(places, F.array().cast("array<bigint>")))
         labels.append(F.when(F.contains(norm, F.lit(f" {phrase} ")), F.lit(label)))
     hits = found.groupBy("row").agg(

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftlens.llm.common import match_spans, table, whole
 from driftlens.session import cut_lineage
 
-# The kinds in their order, the pattern of each, and the least length of its value.
+# The kinds in their order and the pattern of each.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# Runs are maximal, so their least lengths are part of the patterns; a short assigned value still uses up its text.
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "markov"]
-LEAST = {"assign": 6, "access": 20, "hex": 24}
+LEAST = 6              # characters of an assigned value
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOL = "A-Za-z0-9+/_=-"
@@ -33,11 +34,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     named = [F.contains(small, F.lit(w)) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")]
     found = {
         "assign": F.when(reduce(Column.__or__, named), F.filter(
-            match_spans(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= LEAST["assign"])),
-        "access": F.when(F.contains(text, F.lit("AKIA")), F.filter(
-            match_spans(text, ACCESS), lambda x: F.length(x["m"]) >= LEAST["access"])),
-        "hex": F.when(text.rlike("[0-9a-f]{24}"), F.filter(
-            match_spans(text, HEX), lambda x: F.length(x["m"]) >= LEAST["hex"])),
+            match_spans(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= LEAST)),
+        "access": F.when(F.contains(text, F.lit("AKIA")), match_spans(text, ACCESS)),
+        "hex": F.when(text.rlike(HEX), match_spans(text, HEX)),
     }
     return {kind: F.coalesce(spans, none) for kind, spans in found.items()}
 
