@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftlens.llm.common import table, whole, word_count
+from driftlens.llm.common import SPACE, table, whole, word_count
 from driftlens.session import cut_lineage, scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -95,6 +95,33 @@ def compact(spark: SparkSession, ledger: str, into: str) -> None:
     totals(spark, ledger).coalesce(1).write.mode("overwrite").parquet(f"{into}/batch=base")
 
 
+def changes(old: DataFrame, new: DataFrame, vocabularies: dict[str, str] | None = None,
+            text: str = "text", ident: str = "doc_id", source: str = "source", lang: str = "lang") -> DataFrame:
+    """Signed changes (source, lang, tokenizer, docs, tokens) that turn the counts of ``old`` rows into those of ``new`` ones.
+
+    Rows that stand on both sides equally often (same identifier, source, language and text) cancel before any text is
+    tokenized, so a whole old and new table may be given as well as the rows that changed. A row on the old side only is a delete, one
+    on the new side only an insert, both together a revision. Nulls are values of their own and repeated rows count each
+    time; empty tables give no rows on their side; other columns are not read.
+    """
+    names = {"byte-bpe-50k": VOCABULARY} if vocabularies is None else vocabularies
+    columns = {"id": ident, "source": source, "lang": lang, "text": text}
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        rows = df.select(*[F.col(c).alias(k) for k, c in columns.items()])
+        parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+        # The lengths keep the parts apart.
+        key = F.sha2(F.concat_ws(",", *[F.concat(F.length(p).cast("string"), p) for p in parts]), 256)
+        return rows.select("source", "lang", "text", F.lit(sign).cast("bigint").alias("sign"), key.alias("key"))
+
+    both = side(old, -1).unionByName(side(new, 1))
+    # Copies meet before the shuffle; what is left of a row is how many more one side has of it.
+    rest = both.groupBy("key").agg(
+        F.sum("sign").alias("net"), *[F.first(c).alias(c) for c in ("source", "lang", "text")]).where("net <> 0")
+    each = counted(rest.select("net", "source", "lang", "text"), names)
+    return each.select(*KEYS, F.col("net").alias("docs"), (F.col("net") * F.col("tokens")).alias("tokens"))
+
+
 def count_tokens(docs: DataFrame, ledger: str, batches: int = 4, vocabularies: dict[str, str] | None = None,
                  text: str = "text", ident: str = "doc_id", source: str = "source", lang: str = "lang") -> DataFrame:
     """Load documents into a ledger in batches by a hash of the identifier and return the rollup.
@@ -114,5 +141,27 @@ def count_tokens(docs: DataFrame, ledger: str, batches: int = 4, vocabularies: d
     return totals(docs.sparkSession, ledger)
 
 
+def feed(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> list[tuple[str, DataFrame, DataFrame]]:
+    """Named changes (batch, old rows, new rows) that end with the table they started from.
+
+    By a hash of the identifier, one document in 16 is deleted and comes back; another one in 16 is revised, with its white
+    space folded, and revised back.
+    """
+    spread = F.pmod(F.xxhash64(F.col(ident)), F.lit(16))
+    gone, revised = docs.where(spread == 3), docs.where(spread == 7)
+    folded = revised.withColumn(text, F.regexp_replace(F.col(text), f"[{SPACE}]+", " "))
+    return [
+        ("delete", gone, gone.limit(0)), ("revise", revised, folded),
+        ("restore", gone.limit(0).unionByName(folded), gone.unionByName(revised)),
+    ]
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "token-counts"))
+    """Loads the whole table, deletes, revises and restores part of it, and replays every batch."""
+    docs, ledger = table(spark, sf_dir, "documents"), scratch_path(spark, "token-counts")
+    count_tokens(docs, ledger)
+    for batch, old, new in feed(docs):
+        signed = cut_lineage(deltas(changes(old, new)).withColumnsRenamed({"n_docs": "docs", "n_tokens": "tokens"}))
+        for _ in range(2):
+            commit(signed, ledger, batch)
+    return totals(spark, ledger)
