@@ -147,7 +147,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
         F.col("source").alias("_s"), "source_size", "target", "n_blocks", "quota", "quota_from", "source_no"
     ).join(chunks.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t"))
     facts = facts.join(plan, facts["source"].eqNullSafe(plan["_s"])).drop("_s")
-    shares = drawn(plan, shard, seed)
+    # The counts are small but stand for up to a shard of places each, so they are dealt before they are expanded.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = drawn(plan, shard, seed).repartition(parts, "shard", "source_no", "start")
     places = shares.select(
         "shard", "source_no", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("place")
     ).join(plan.select("source_no", "n_blocks", F.col("_s").alias("source")), "source_no")
