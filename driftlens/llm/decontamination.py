@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftlens.llm.common import table, whole
 from driftlens.session import cut_lineage
 
-# Offsets of the words that a seed reads; the others may differ. All but the last have weight 6. The SQL has these only.
+# Offsets of the words that a seed reads; the others may differ. These have weight 6.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 7, 10), (0, 1, 2, 5, 8, 9))
 SHORT_MASK = (0, 1, 2, 3, 4)   # for items with fewer words than the widest mask
 # (fewest words of an item, masks), longest first. Wherever 80 in a hundred of an item's words, or of some 16 of them, agree,
@@ -84,13 +84,11 @@ def verified(pairs: DataFrame, window: int = WINDOW, percent: int = PERCENT) ->
     low = F.greatest(F.lit(0), -F.col("shift"))
     length = F.least(F.size("item_words"), F.size("words") - F.col("shift")) - low
     need = F.least(F.lit(window), F.size("item_words"))
-    laid = pairs.withColumns({"low": low, "overlap": length, "need": need}).where("overlap >= need")
-    equal = F.zip_with(
-        F.slice("item_words", F.col("low") + 1, F.col("overlap")),
-        F.slice("words", F.col("low") + F.col("shift") + 1, F.col("overlap")), lambda a, b: (a == b).cast("int"))
-    laid = laid.withColumn("equal", equal)
+    # Item words beyond the edge of the document count as different.
+    there = lambda w, k: F.coalesce(F.get("words", k + F.col("shift")) == w, F.lit(False)).cast("int")
+    laid = pairs.withColumns({"low": low, "overlap": length, "need": need, "equal": F.transform("item_words", there)})
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.col("overlap") - F.col("need") + 1), lambda i: total(F.slice("equal", i, F.col("need")))))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("item_words") - F.col("need") + 1), lambda i: total(F.slice("equal", i, F.col("need")))))
     laid = laid.withColumns({"best": best, "same": total("equal"), "start": F.col("low") + F.col("shift")})
     return laid.where(F.col("best") * 100 >= F.col("need") * percent).drop("low", "equal")
 
@@ -101,7 +99,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percen
 
     Words are compared in lower case without punctuation. An overlap counts when ``percent`` in a hundred of some
     ``window`` words of an item (of the whole item if it is shorter) stand in the document at one distance, so single
-    words may be replaced. Items of fewer than five words are not searched for. Null and empty texts have no words; null
+    words may be replaced; at the edge of a document the words of the window that lie outside count as replaced. Items of fewer than five
+    words are not searched for. Null and empty texts have no words; null
     identifiers are reported as null; repeated rows count once; empty tables give no rows; other columns are not read.
     """
     texts = docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).withColumn("key", F.xxhash64("id", "text"))
@@ -143,16 +142,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_seeds(words: str, ident: str) -> str:
-    """SQL for the seeds of a table of (ident, pos, w, n): mask number, text of the read words."""
+    """SQL for the seeds of a table of (ident, pos, w, n): group and mask number, text of the read words."""
     lead = lambda k: "w" if k == 0 else f"lead(w, {k}) OVER (PARTITION BY {ident} ORDER BY pos)"
-    every = [*MASKS, SHORT_MASK]
-    span = max(m[-1] for m in MASKS) + 1
-    short = f"n < {span}" if ident == "item_id" else "true"
-    long = f"n >= {span}" if ident == "item_id" else "true"
+    tops = [2 ** 31, *[least for least, _ in GROUPS]]
     return " UNION ALL ".join(
-        f"SELECT {ident}, pos, {no} AS mask, s FROM (SELECT {ident}, pos, n, {' || chr(1) || '.join(lead(k) for k in mask)} AS s FROM {words}) "
-        f"WHERE s IS NOT NULL AND {short if no == len(MASKS) else long}"
-        for no, mask in enumerate(every))
+        f"SELECT {ident}, pos, {100 * group + no} AS mask, s FROM (SELECT {ident}, pos, n, {' || chr(1) || '.join(lead(k) for k in mask)} AS s FROM {words}) "
+        f"WHERE s IS NOT NULL" + (f" AND n >= {least} AND n < {tops[group]}" if ident == "item_id" else "")
+        for group, (least, masks) in enumerate(GROUPS) for no, mask in enumerate(masks))
 
 
 OP6_SQL = rf"""
@@ -164,13 +160,13 @@ ds AS ({_sql_seeds("dw", "doc_id")}),
 bs AS ({_sql_seeds("bw", "item_id")}),
 c AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.s = bs.s),
 e AS (
-  SELECT c.doc_id, c.item_id, c.shift, bw.pos, bw.n AS bn, least(bw.n, {WINDOW}) AS need, (dw.w = bw.w)::INT AS eq
-  FROM c JOIN bw ON bw.item_id = c.item_id JOIN dw ON dw.doc_id = c.doc_id AND dw.pos = bw.pos + c.shift),
+  SELECT c.doc_id, c.item_id, c.shift, bw.pos, least(bw.n, {WINDOW}) AS need, dw.pos AS place, coalesce(dw.w = bw.w, false)::INT AS eq
+  FROM c JOIN bw ON bw.item_id = c.item_id LEFT JOIN dw ON dw.doc_id = c.doc_id AND dw.pos = bw.pos + c.shift),
 f AS (
   SELECT *, sum(eq) OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos ROWS BETWEEN need - 1 PRECEDING AND CURRENT ROW) AS got,
     row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos) AS k FROM e),
 g AS (
-  SELECT doc_id, item_id, shift, max(got) FILTER (k >= need) AS best, sum(eq) AS same, min(pos) + shift - 1 AS start, count(*) AS overlap, max(need) AS need
+  SELECT doc_id, item_id, shift, max(got) FILTER (k >= need) AS best, sum(eq) AS same, min(place) - 1 AS start, count(place) AS overlap, max(need) AS need
   FROM f GROUP BY 1, 2, 3)
 SELECT doc_id, item_id, start::BIGINT AS start_word, overlap::BIGINT AS n_words, same::BIGINT AS n_same
 FROM g WHERE best * 100 >= need * {PERCENT}

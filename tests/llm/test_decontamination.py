@@ -18,10 +18,9 @@ def brute(docs, items, window=16, percent=80):
             need = min(window, len(b))
             if len(b) < 5:
                 continue
-            for shift in range(-len(b), len(words)):
+            for shift in range(-len(b), len(words) + 1):
                 same = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(b)]
-                lo, hi = max(0, -shift), min(len(b), len(words) - shift)
-                if any(100 * sum(same[k:k + need]) >= percent * need for k in range(lo, hi - need + 1)):
+                if any(100 * sum(same[k:k + need]) >= percent * need for k in range(len(b) - need + 1)):
                     found.add((d, i))
     return found
 
@@ -93,3 +92,27 @@ def test_substitutions_in_short_items(spark, docs_of, block_keys):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(rows), bench, block_keys=block_keys).collect()}
     assert got == {(d, int(name.split("-")[0])) for d, (name, _) in enumerate(docs)}
+
+
+def test_edges_of_a_document(spark, docs_of):
+    """A window of 16 item words counts with 13 equal ones wherever the others lie, outside the document too."""
+    item = [f"w{k}" for k in range(40)]
+    cuts = {1: ["x"] * 20 + item[10:25] + ["y"] * 20, 2: item[10:25], 3: ["x"] * 20 + item[:13], 4: item[27:] + ["y"] * 20, 5: item[10:22], 6: ["x"] * 20 + item[:12]}
+    rows = [(d, " ".join(words)) for d, words in cuts.items()]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "a b c d e")], "item_id bigint, text string")
+    found = {r.doc_id: (r.start_word, r.n_words, r.n_same) for r in contaminated(docs_of([*rows, (7, "a b c d"), (8, "a b c")]), bench).collect()}
+    assert found == {1: (10, 40, 15), 2: (0, 15, 15), 3: (20, 13, 13), 4: (0, 13, 13), 7: (0, 4, 4)}
+
+
+def test_query_equals_sql_on_planted_rows(spark, docs_of, case, tmp_path):
+    import duckdb
+
+    from driftlens.llm.decontamination import OP6_SQL, op6_decontamination
+    docs, items = case
+    docs_of(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, op6_decontamination(spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.sql(OP6_SQL).fetchall()) and got
