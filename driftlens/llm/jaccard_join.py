@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from driftlens.llm.common import components, table
+from driftlens.llm.common import stars, table
 from driftlens.llm.texthash import U, mix, shingle_set
 from driftlens.session import cut_lineage
 
@@ -143,8 +143,8 @@ def sketches(docs: DataFrame, words: int, percent: int, common: np.ndarray) -> D
     return docs.mapInArrow(run, f"id {kind}, key bigint, row bigint, n bigint, set_hash bigint, sigs array<bigint>")
 
 
-def product_links(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between ``left`` and ``right`` rows that join their components.
+def product_links(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """The component of each row by the links between ``left`` and ``right`` rows.
 
     Rows times columns is multiplied in blocks of rows: the columns of a row give the rows that share them, and counting
     those gives the overlaps. A pair counts when its overlap reaches the bound that follows from both sizes. Columns of
@@ -160,7 +160,6 @@ def product_links(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
     posting, starts = owner[by_column], np.searchsorted(column[by_column], np.arange(len(count) + 1))
     row_starts = np.searchsorted(owner, np.arange(m + 1))
     comp = np.arange(m)
-    links: list[tuple[int, int]] = []
     sides = [(r, right) for r in np.flatnonzero(left)]
     at = 0
     while at < len(sides):
@@ -179,62 +178,63 @@ def product_links(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, r
                 continue
             overlap = np.bincount(np.concatenate([posting[starts[c]:starts[c + 1]] for c in mine]), minlength=m)
             hit = fits & ((100 + percent) * overlap >= percent * (sizes + sizes[r])) & (comp != comp[r])
-            for label in np.unique(comp[hit]):
-                links.append((int(r), int(np.flatnonzero(hit & (comp == label))[0])))
             merged = np.unique(np.append(comp[hit], comp[r]))
             comp[np.isin(comp, merged)] = merged[0]
-    return links
+    return comp
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, tile: int = TILE, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(id, key, row, n, comp): the rows of the join with their component, named by one of its rows.
 
     1. One pass gives every set's size, hash and signatures (written down once).
-    2. Rows that share a signature are joined to the smallest row with it; components of that are blocks, outside of
+    2. The smallest rows of signatures are joined where one row has both; components of that are blocks, outside of
        which no links exist. Equal sets of a block are one member.
     3. Members fetch their sets. Large blocks are cut again by other signatures. A block is one sparse product; a block of more than ``tile`` members is cut into tiles,
-       and each pair of tiles is one product, so the rows in a task are bounded. Products return only links that join
-       components: at most one per member and tile pair.
+       and each pair of tiles is one product, so the rows in a task are bounded. A product returns the components of its
+       rows: at most one link per member and tile pair.
     """
     body = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     keyed = body.withColumn("key", F.xxhash64("id", "text"))
     common = common_shingles(keyed, words)
     rows = keyed.withColumn("row", F.monotonically_increasing_id()).select("id", "key", "row", "text")
     facts = cut_lineage(sketches(rows, words, percent, common))
-    # One shuffle by signature; a window reads a group as a stream that spills.
-    signed = facts.select("row", F.explode("sigs").alias("sig"))
-    hubs = signed.withColumn("hub", F.min("row").over(Window.partitionBy("sig"))).where("row <> hub")
-    blocks = components(hub_links(hubs.select("row", "hub")))
+    blocks = blocks_of(facts.select("row", F.explode("sigs").alias("sig")))
     facts = facts.drop("sigs")
-    inside = cut_lineage(facts.join(blocks.withColumnRenamed("node", "row"), "row").withColumnRenamed("component", "block"))
-    members = inside.groupBy("block", "n", "set_hash").agg(F.min(F.struct("row", "key")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    inside = cut_lineage(facts.join(blocks, "row"))
+    members = inside.groupBy("block", "n", "set_hash").agg(F.min(F.struct("row", "key")).alias("m"))
     members = members.select("block", "n", "set_hash", F.col("m.row").alias("member"), F.col("m.key").alias("key"))
-    tiles = members.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(
-        "block", F.ceil(F.col("members") / tile).cast("int").alias("tiles"))
-    wanted = cut_lineage(members.join(tiles, "block"))
+    number = F.count(F.lit(1)).over(Window.partitionBy("block"))
+    wanted = cut_lineage(members.withColumn("members", number).where("members > 1").withColumn("tiles", F.ceil(F.col("members") / tile).cast("int")).drop("members"))
     sets = cut_lineage(fetch_sets(keyed.select("key", "text"), wanted, words))
     sets = refined(sets, percent, tile)
     own = F.pmod(F.xxhash64("member"), F.col("tiles")).cast("int")
     pairs = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "member", "n", "items")
+        "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "member", "n", "items", "tiles")
     group = ["block", "i", "j"]
-    links = tile_products(pairs.repartition(*group).sortWithinPartitions(*group), percent)
-    joined = components(links)
+    links = cut_lineage(tile_products(pairs.repartition(*group).sortWithinPartitions(*group), percent))
+    # The product of a block in one tile has its components; those of cut blocks are put together.
+    joined = links.where("tiles = 1").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    cut = links.where("tiles > 1")
+    if not cut.isEmpty():
+        joined = joined.union(stars(cut))
     placed = inside.join(members.select("block", "n", "set_hash", "member"), ["block", "n", "set_hash"])
     placed = placed.join(joined.withColumnRenamed("node", "member"), "member", "left").select(
         "row", F.coalesce("component", "member").alias("comp"))
     return facts.join(placed, "row", "left").select("id", "key", "row", "n", F.coalesce("comp", "row").alias("comp"))
 
 
-def hub_links(hubs: DataFrame) -> DataFrame:
-    """Links (a, b) with the components of the (row, hub) pairs, about one per row instead of one per signature.
+def blocks_of(signed: DataFrame) -> DataFrame:
+    """(row, block) for the rows of (row, sig) that share a signature with another row; blocks are components of that.
 
-    A row is linked to its smallest hub, and that hub to the row's other ones; rows of a group share most of those.
+    The smallest row with a signature is its hub. A row belongs with its smallest hub and links that to its other ones, so
+    only hubs are nodes and the rows of a group, which share most hubs, give the same few links.
     """
-    each = hubs.groupBy("row").agg(F.collect_set("hub").alias("hubs")).withColumn("low", F.array_min("hubs"))
-    own = each.select(F.col("row").alias("a"), F.col("low").alias("b"))
-    among = each.select(F.col("low").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
-    return own.unionByName(among)
+    # One shuffle by signature; a window reads a group as a stream that spills.
+    group = Window.partitionBy("sig")
+    hubs = signed.withColumn("hub", F.min("row").over(group)).withColumn("most", F.max("row").over(group)).where("most > hub")
+    each = cut_lineage(hubs.groupBy("row").agg(F.collect_set("hub").alias("hubs")).withColumn("low", F.array_min("hubs")))
+    found = stars(each.select(F.col("low").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct())
+    return each.join(found.withColumnRenamed("node", "low"), "low", "left").select("row", F.coalesce("component", "low").alias("block"))
 
 
 def fetch_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -261,16 +261,18 @@ def refined(sets: DataFrame, percent: int, tile: int, rounds: int = 2) -> DataFr
     Blocks grow large when texts that do not link are chained by signatures they share by chance. Linked members share a
     signature under every seed, so no link is lost, while few chance chains come about twice.
     """
+    before = 0
     for seed in range(1, rounds + 1):
         large = sets.where("tiles > 1")
-        if large.isEmpty():
+        number = large.count()
+        # Blocks that a round has not made smaller hold texts that do link.
+        if number in (0, before):
             break
+        before = number
         signed = sign_again(large.select("block", "member", "items"), percent, seed).select("block", "member", F.explode("sigs").alias("sig"))
-        hubs = signed.withColumn("hub", F.min("member").over(Window.partitionBy("block", "sig"))).where("member <> hub")
-        parts = components(hub_links(hubs.select(F.col("member").alias("row"), "hub")))
-        parts = parts.select(F.col("node").alias("member"), F.col("component").alias("block"))
-        tiles = parts.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-        cut = large.drop("block", "tiles").join(parts, "member").join(tiles, "block")
+        parts = blocks_of(signed.select(F.col("member").alias("row"), F.xxhash64("block", "sig").alias("sig")))
+        parts = parts.withColumn("tiles", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("block")) / tile).cast("int"))
+        cut = large.drop("block", "tiles").join(parts.withColumnRenamed("row", "member"), "member")
         sets = cut_lineage(sets.where("tiles = 1").unionByName(cut.select(*sets.columns)))
     return sets
 
@@ -287,30 +289,38 @@ def sign_again(members: DataFrame, percent: int, seed: int) -> DataFrame:
 
 
 def tile_products(pairs: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) of all tile pairs; rows come sorted by (block, i, j), and one tile pair is held at a time."""
-    def links_of(rows: list[tuple]) -> list[tuple[int, int]]:
+    """(a, b, tiles): each member with the smallest one it is joined to in a tile pair, for all tile pairs.
+
+    Rows come sorted by (block, i, j), and one tile pair is held at a time.
+    """
+    def links_of(rows: list[tuple]) -> list[tuple[int, int, int]]:
         rows.sort(key=lambda r: (r[5], r[4]))
         i, j = rows[0][1:3]
         own, member, sizes = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
-        found = product_links(sizes, [np.frombuffer(r[6], U) for r in rows], own == i, own == j, percent)
-        return [(int(member[a]), int(member[b])) for a, b in found]
+        comp = product_links(sizes, [np.frombuffer(r[6], U) for r in rows], own == i, own == j, percent)
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(least, comp, member)
+        return [(int(m), int(x), rows[0][7]) for m, x in zip(member, least[comp], strict=True) if m != x]
+
+    def batch_of(made: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        kinds = {"a": pa.int64(), "b": pa.int64(), "tiles": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        made: list[tuple[int, int]] = []
+        made: list[tuple[int, int, int]] = []
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held and row[:3] != held[0][:3]:
                     made += links_of(held)
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield batch_of(made)
             made = []
         if held:
-            made = links_of(held)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield batch_of(links_of(held))
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return pairs.mapInArrow(run, "a bigint, b bigint, tiles int")
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", ident: str = "doc_id", **options) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from driftlens.llm.jaccard_join import Signatures, jaccard_join, keep_one
+from driftlens.llm.jaccard_join import Signatures, blocks_of, jaccard_join, keep_one
 
 
 def brute(rows, k=4, percent=85):
@@ -75,3 +75,23 @@ def test_linked_sets_share_a_signature(shared):
 
 def test_empty_table(docs_of):
     assert jaccard_join(docs_of([])).count() == 0 and keep_one(docs_of([])).count() == 0
+
+
+def test_few_shuffles(spark, docs_of):
+    """Each shuffle costs a file per task, whatever it carries: many rounds over little data filled the disk."""
+    docs = docs_of(near_copies())
+    spark.sparkContext.setJobGroup("few-shuffles", "stages of a join")
+    try:
+        jaccard_join(docs, tile=4).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    ran = {s for j in tracker.getJobIdsForGroup("few-shuffles") for s in tracker.getJobInfo(j).stageIds}
+    assert 0 < len(ran) < 160
+
+
+def test_blocks(spark):
+    """Rows that share a signature are in one block, named by one of its rows; a signature of one row says nothing."""
+    signed = [(1, 10), (2, 10), (2, 11), (3, 11), (4, 12), (5, 13), (6, 13), (6, 14), (8, 14), (7, 15), (8, 15), (1, 16)]
+    got = {r.row: r.block for r in blocks_of(spark.createDataFrame(signed, "row bigint, sig bigint")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 8: 5, 7: 5}
