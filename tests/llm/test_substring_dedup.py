@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from driftlens.llm.substring_dedup import anchors, substring_dedup
+from driftlens.llm.substring_dedup import anchors, op8_suffix_dedup, repeated, substring_dedup
 from driftlens.llm.suffix_sort import common_prefix, deep_shallow, neighbours
 
 
@@ -44,6 +45,35 @@ def test_against_brute_force(docs_of, awkward, options):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 40), key=key)
 
 
+def test_hot_anchor_is_not_dealt_to_one_task(spark):
+    rows = [(k, 0, 7 if k % 4 else k // 8 if k < 2000 else k, 0, 0) for k in range(4000)]
+    spots = spark.createDataFrame(rows, "key bigint, pos bigint, h bigint, least int, most int").repartition(8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        often, some_hot = repeated(spots, 100)
+        got = often.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    counts = Counter(r[2] for r in rows)
+    assert some_hot and sorted((r["key"], r["h"], r["hot"]) for r in got) == sorted((r[0], r[2], counts[r[2]] > 100) for r in rows if counts[r[2]] > 1)
+    assert max(Counter(r["task"] for r in got if r["hot"]).values()) < len(rows) / 4
+
+
+def test_query_gives_what_is_left(spark, docs_of, tmp_path):
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, short = say(450), say(390)
+    # é and è share their first byte: the passage runs into the character.
+    rows = [(1, "x" + passage + "é one"), (2, "y" + passage + "è two"), (3, say(600)), (4, None), (5, "u" + short + "v"), (6, "w" + short + "z")]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    left = {1: "x\ufffd one", 2: "y\ufffd two"}
+    assert {i: r["text"] for i, r in got.items()} == {i: left.get(i, t or "") for i, t in rows}
+    assert {i: r["n_removed"] for i, r in got.items()} == {i: 451 if i in left else 0 for i, _ in rows}
+    assert [tuple(got[i])[1:5] for i, _ in rows] == [r[1:] for r in brute(rows, 400)]
+
+
 def test_empty_table(docs_of):
     assert substring_dedup(docs_of([])).count() == 0
 
