@@ -150,13 +150,18 @@ def append_stream(path: str, writer: str | None = None) -> Callable[[DataFrame,
     """A ``foreachBatch`` handler that appends each micro-batch once.
 
     The writer is by default the streaming query itself: its identity is kept in its checkpoint, so a restarted query goes
-    on as the same writer and one with a new checkpoint is another writer.
+    on as the same writer and one with a new checkpoint is another writer. A micro-batch is kept while it is appended, which
+    reads it more than once: what made it, and its state, would else run again each time.
     """
     def handle(df: DataFrame, batch_id: int) -> None:
         query = writer or df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         if not query:
             raise RuntimeError("name the writer: the query's identity is not known here")
-        append_logs(df, path, batch_id, query.replace("-", "_"))
+        df.persist()
+        try:
+            append_logs(df, path, batch_id, query.replace("-", "_"))
+        finally:
+            df.unpersist()
 
     return handle
 
